@@ -32,6 +32,16 @@ from stipendlens.plans.joins import bounded_broadcast
 _P = "__rk_p"
 
 
+def _nsjoin(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (partition keys may be NULL)."""
+    renamed = right.select(*[F.col(c).alias(f"__rk_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        e = left[k].eqNullSafe(renamed[f"__rk_r_{k}"])
+        cond = e if cond is None else cond & e
+    return left.join(renamed, cond, how).drop(*[f"__rk_r_{k}" for k in keys])
+
+
 def _buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return max(1, int(buckets))
@@ -64,7 +74,7 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     if nb > 1:
         fracs = [i / nb for i in range(1, nb)]
         bounds = nonnull.groupBy(*by).agg(F.percentile_approx(value, fracs, accuracy).alias("__rk_bounds"))
-        bucketed = nonnull.join(bounded_broadcast(bounds), by, "inner").withColumn(
+        bucketed = _nsjoin(nonnull, bounded_broadcast(bounds), by).withColumn(
             "__rk_b", F.size(F.filter("__rk_bounds", lambda b: b < v))).drop("__rk_bounds")
     else:
         bucketed = nonnull.withColumn("__rk_b", F.lit(0))
@@ -79,15 +89,13 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     wv = Window.partitionBy(*by, "__rk_b").orderBy(order_v).rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("__rk_before_v", F.coalesce(F.sum("__rk_n").over(wv), F.lit(0)))
 
-    ranked = (within.join(bounded_broadcast(per_bucket), by + ["__rk_b"], "inner")
-              .join(part_stats, by, "inner"))
+    ranked = _nsjoin(_nsjoin(within, bounded_broadcast(per_bucket), by + ["__rk_b"]), part_stats, by)
     lead_nulls = F.col("__rk_nulls") if descending else F.lit(0)
     nonnull_ranks = ranked.select(
         *by, value, (F.lit(1) + F.col("__rk_before_b") + F.col("__rk_before_v") + lead_nulls).alias(out))
 
     null_rank = F.lit(1) if descending else F.lit(1) + F.col("__rk_nonnull")
-    null_ranks = (counts.filter(v.isNull()).join(part_stats, by, "inner")
-                  .select(*by, value, null_rank.alias(out)))
+    null_ranks = _nsjoin(counts.filter(v.isNull()), part_stats, by).select(*by, value, null_rank.alias(out))
 
     ranks = nonnull_ranks.unionByName(null_ranks)
     ranks = ranks.select(*[F.col(c).alias(f"__rk_k{i}") for i, c in enumerate(by)],
