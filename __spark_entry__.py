@@ -23,6 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 import oracle_queries  # noqa: E402
+from stipendlens.operators import quality as Q  # noqa: E402
 from stipendlens.operators import reports as R  # noqa: E402
 from stipendlens.sources.mapping import ATTENDANCE_AS_OF, PAYMENTS_AS_OF, Domain  # noqa: E402
 
@@ -50,6 +51,35 @@ def _shift_years(payments: DataFrame, years: int) -> DataFrame:
     return payments.withColumn("payment_year", (F.col("payment_year") + years).cast("int"))
 
 
+def _payment_violations(d: Domain) -> DataFrame:
+    raw = d.cash_payments_raw
+    return Q.violations(raw, Q.payment_rules(raw, None, d.students, d.admins, order_col="payment_id"), "payment_id")
+
+
+def _attendance_rules(d: Domain):
+    raw = d.meal_attendance_raw
+    return raw, Q.attendance_rules(raw, None, d.students, d.menus, order_col="attendance_id")
+
+
+def _attendance_violations(d: Domain) -> DataFrame:
+    raw, rules = _attendance_rules(d)
+    return Q.violations(raw, rules, "attendance_id")
+
+
+def _student_violations(d: Domain) -> DataFrame:
+    s = d.students
+    return Q.violations(s, Q.student_rules(s, None, d.departments, d.dormitories, order_col="student_id"),
+                        "student_id")
+
+
+def _attendance_split(d: Domain, side: int) -> DataFrame:
+    raw, rules = _attendance_rules(d)
+    out = Q.split_valid(raw, rules, "attendance_id")[side]
+    if side == 1:
+        out = out.select("attendance_id", "student_id", "first_reason", "message")
+    return out
+
+
 _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "r01_attendance_detail": lambda d: R.attendance_detail(d.meal_attendance, d.students, d.menus),
     "r02_payment_status": lambda d: R.payment_status(d.students, d.departments, d.cash_payments, PAYMENTS_AS_OF),
@@ -79,6 +109,11 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "q1_dual_claims": lambda d: R.dual_claims(d.students, d.meal_attendance, d.cash_payments),
     "q1_dual_claims_shifted": lambda d: R.dual_claims(d.students, d.meal_attendance,
                                                       _shift_years(d.cash_payments, 26)),
+    "c01_payment_violations": _payment_violations,
+    "c02_attendance_violations": _attendance_violations,
+    "c03_student_violations": _student_violations,
+    "c04_attendance_split_valid": lambda d: _attendance_split(d, 0),
+    "c05_attendance_rejected": lambda d: _attendance_split(d, 1),
 }
 
 
