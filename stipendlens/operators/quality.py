@@ -62,7 +62,7 @@ class Rule:
     ref: DataFrame | None = field(default=None, compare=False)
     ref_cols: tuple[str, ...] = ()
     existing: DataFrame | None = field(default=None, compare=False)
-    order_col: str | None = None
+    order_col: str | tuple[str, ...] | None = None
 
     def message_col(self) -> Column:
         m = self.message
@@ -112,8 +112,12 @@ def matches(col: str, regex: str, message: str) -> Rule:
 
 
 def unique(*cols: str, name: str | None = None, existing: DataFrame | None = None,
-           order_col: str | None = None) -> Rule:
+           order_col: str | Sequence[str] | None = None) -> Rule:
+    """UNIQUE over ``cols``; within the batch the row first in ``order_col``
+    order (one column or several, compared left to right) keeps the key."""
     name = name or "_".join(cols) + "_key"
+    if order_col is not None and not isinstance(order_col, str):
+        order_col = tuple(order_col)
     return Rule(f"unique:{name}", "UNIQUE", None, UNIQUE_MESSAGES.get(name, UNIQUE_MESSAGE_OTHERWISE),
                 tuple(cols), existing=existing, order_col=order_col)
 
@@ -146,11 +150,13 @@ def _tag(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
 def _unique(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
     cols = list(r.cols)
     order = r.order_col or key[0]
+    order_expr = F.col(order) if isinstance(order, str) else F.struct(*[F.col(c) for c in order])
     present = df
     for c in cols:
         present = present.filter(F.col(c).isNotNull())
-    firsts = present.groupBy(*cols).agg(F.min(order).alias("__first"))
-    later = present.join(firsts, cols, "inner").filter(F.col(order) > F.col("__first"))
+    present = present.withColumn("__ord", order_expr)
+    firsts = present.groupBy(*cols).agg(F.min("__ord").alias("__first"))
+    later = present.join(firsts, cols, "inner").filter(F.col("__ord") > F.col("__first"))
     out = _tag(later, r, key)
     if r.existing is not None:
         stored = present.join(distinct_keys(r.existing, cols), cols, "left_semi")
