@@ -10,6 +10,7 @@ library and cast to DOUBLE here, after aggregation, to match the oracle.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import sys
 from collections.abc import Callable
@@ -25,7 +26,9 @@ from pyspark.sql import types as T  # noqa: E402
 import oracle_queries  # noqa: E402
 from stipendlens.operators import quality as Q  # noqa: E402
 from stipendlens.operators import reports as R  # noqa: E402
-from stipendlens.sources.mapping import ATTENDANCE_AS_OF, PAYMENTS_AS_OF, Domain  # noqa: E402
+from stipendlens.operators import workflows as W  # noqa: E402
+from stipendlens.sources.mapping import (ATTENDANCE_AS_OF, PAYMENTS_AS_OF, WORKFLOW_ADMIN,  # noqa: E402
+                                         WORKFLOW_AS_OF, Commands, Domain)
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -80,6 +83,42 @@ def _attendance_split(d: Domain, side: int) -> DataFrame:
     return out
 
 
+def _payments_clock() -> dt.datetime:
+    return dt.datetime.combine(PAYMENTS_AS_OF, dt.time())
+
+
+def _register(d: Domain) -> W.Result:
+    return W.register_students(d.students, Commands(d).registrations(), d.departments, d.dormitories,
+                               WORKFLOW_AS_OF)
+
+
+def _approve(d: Domain) -> W.Result:
+    return W.approve_students(d.students, Commands(d).approvals())
+
+
+def _commands(d: Domain) -> W.Result:
+    return W.apply_payment_commands(d.cash_payments, Commands(d).payment_commands())
+
+
+def _ticks(d: Domain) -> W.Result:
+    c = Commands(d)
+    return W.record_ticks(c.stored_ticks(), c.new_ticks(), d.students, d.menus, WORKFLOW_AS_OF)
+
+
+def _delete_unapproved(d: Domain) -> DataFrame:
+    tables = {"students": d.students, "cash_payments": d.cash_payments, "meal_attendance": d.meal_attendance}
+    ids = d.students.filter(F.col("is_approved") == False).select("student_id")  # noqa: E712
+    out, _ = W.delete_rows(tables, "students", ids)
+    return out["cash_payments"]
+
+
+def _delete_unavailable_menus(d: Domain) -> DataFrame:
+    tables = {"menus": d.menus, "meal_attendance": d.meal_attendance}
+    ids = d.menus.filter(F.col("is_available") == False).select("menu_id")  # noqa: E712
+    _, blocked = W.delete_rows(tables, "menus", ids)
+    return blocked
+
+
 _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "r01_attendance_detail": lambda d: R.attendance_detail(d.meal_attendance, d.students, d.menus),
     "r02_payment_status": lambda d: R.payment_status(d.students, d.departments, d.cash_payments, PAYMENTS_AS_OF),
@@ -114,6 +153,21 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "c03_student_violations": _student_violations,
     "c04_attendance_split_valid": lambda d: _attendance_split(d, 0),
     "c05_attendance_rejected": lambda d: _attendance_split(d, 1),
+    "m01_register_students": lambda d: _register(d).changed,
+    "m01_register_rejected": lambda d: _register(d).rejected.select("seq", "first_reason", "message"),
+    "m02_approve_students": lambda d: _approve(d).changed,
+    "m04_monthly_payments": lambda d: W.create_monthly_payments(d.cash_payments, d.students, _payments_clock(),
+                                                                WORKFLOW_ADMIN).changed,
+    "m05_payment_commands": lambda d: _commands(d).table,
+    "m05_payment_commands_rejected": lambda d: _commands(d).rejected.select("cmd_id", "payment_id", "kind",
+                                                                             "message"),
+    "m07_force_confirm": lambda d: W.force_payment_status(d.cash_payments, Commands(d).period_keys(), "CONFIRMED",
+                                                          _payments_clock(), WORKFLOW_ADMIN).changed,
+    "m08_record_ticks": lambda d: _ticks(d).changed,
+    "m09_append_audit": lambda d: W.append_audit(d.audit_logs, _approve(d).audit)[1],
+    "m11_stamp_last_login": lambda d: W.stamp_last_login(d.admins, Commands(d).admin_logins()).table,
+    "m12_delete_students_cascade": _delete_unapproved,
+    "m12_delete_menus_restrict": _delete_unavailable_menus,
 }
 
 

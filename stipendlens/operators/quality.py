@@ -147,21 +147,37 @@ def _tag(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
                      r.message_col().alias("message"))
 
 
-def _unique(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
-    cols = list(r.cols)
+def _present(df: DataFrame, r: Rule) -> DataFrame:
+    order = r.order_col or None
+    out = df
+    for c in r.cols:
+        out = out.filter(F.col(c).isNotNull())
+    return out, order
+
+
+def _order_expr(r: Rule, key: Sequence[str]) -> Column:
     order = r.order_col or key[0]
-    order_expr = F.col(order) if isinstance(order, str) else F.struct(*[F.col(c) for c in order])
-    present = df
-    for c in cols:
-        present = present.filter(F.col(c).isNotNull())
-    present = present.withColumn("__ord", order_expr)
-    firsts = present.groupBy(*cols).agg(F.min("__ord").alias("__first"))
-    later = present.join(firsts, cols, "inner").filter(F.col("__ord") > F.col("__first"))
-    out = _tag(later, r, key)
-    if r.existing is not None:
-        stored = present.join(distinct_keys(r.existing, cols), cols, "left_semi")
-        out = out.unionByName(_tag(stored, r, key))
-    return out
+    return F.col(order) if isinstance(order, str) else F.struct(*[F.col(c) for c in order])
+
+
+def _unique_stored(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame | None:
+    if r.existing is None:
+        return None
+    present, _ = _present(df, r)
+    return _tag(present.join(distinct_keys(r.existing, list(r.cols)), list(r.cols), "left_semi"), r, key)
+
+
+def _unique_in_batch(df: DataFrame, candidates: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
+    """Rows inserted one by one: the first row of a key that passes every
+    other rule is stored, every later row with that key collides. Rows that
+    fail some other rule are never stored, so they cannot win a key."""
+    cols = list(r.cols)
+    present, _ = _present(df, r)
+    present = present.withColumn("__ord", _order_expr(r, key))
+    cand, _ = _present(candidates, r)
+    winners = cand.withColumn("__ord", _order_expr(r, key)).groupBy(*cols).agg(F.min("__ord").alias("__first"))
+    later = present.join(winners, cols, "inner").filter(F.col("__ord") > F.col("__first"))
+    return _tag(later, r, key)
 
 
 def _foreign_key(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
@@ -173,7 +189,11 @@ def _foreign_key(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
 
 def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str) -> DataFrame:
     """All (row, rule) failures of ``df`` as ``key..., rule_id, reason, message``.
-    ``key`` must identify a row of the batch (duplicate keys merge rows)."""
+    ``key`` must identify a row of the batch (duplicate keys merge rows).
+
+    Two phases: every rule except in-batch uniqueness first; then the
+    in-batch UNIQUE test, whose key winners are the first rows (in
+    ``order_col`` order) that passed phase one."""
     key = [key] if isinstance(key, str) else list(key)
     rules = [r for r in rules if all(c in df.columns for c in r.cols)]
     parts = []
@@ -182,9 +202,21 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str) -
         parts.append(local)
     for r in rules:
         if r.reason == "UNIQUE":
-            parts.append(_unique(df, r, key))
+            stored = _unique_stored(df, r, key)
+            if stored is not None:
+                parts.append(stored)
         elif r.reason == "FK":
             parts.append(_foreign_key(df, r, key))
+    uniques = [r for r in rules if r.reason == "UNIQUE"]
+    if uniques:
+        candidates = df
+        if parts:
+            first = parts[0]
+            for p in parts[1:]:
+                first = first.unionByName(p)
+            candidates = df.join(first.select(*key), key, "left_anti")
+        for r in uniques:
+            parts.append(_unique_in_batch(df, candidates, r, key))
     if not parts:
         schema = T.StructType([df.schema[k] for k in key] + [T.StructField(c, T.StringType()) for c in
                                                                VIOLATION_FIELDS])

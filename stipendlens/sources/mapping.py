@@ -27,6 +27,11 @@ EVENT_TO_MEAL = {"view": "BREAKFAST", "click": "LUNCH", "purchase": "DINNER"}
 EVENT_TO_AUDIT = {"signup": ("STUDENT", "INSERT"), "error": ("ADMIN", "UPDATE")}
 ADMIN_COUNT = 10
 INACTIVE_ADMIN = 9
+# Command tables derived from the same data for the write workflows
+WORKFLOW_AS_OF = dt.datetime(2024, 2, 1)
+WORKFLOW_ADMIN = 0
+SIGNUP_PASSWORD_PREFIX = "Signup#"
+TICKS_SPLIT_DAY = dt.date(2024, 1, 15)
 
 
 def _pick(index: Column, values) -> Column:
@@ -186,5 +191,75 @@ class Domain:
         )
 
 
+class Commands:
+    """Command / request tables derived from the mapped tables, so every
+    workflow runs over data that grows with the inputs:
+
+    * registrations and approvals: one per signup row of the audit log
+      (a user who signs up twice registers twice);
+    * confirm + send: for every payment, a confirm one day and a send two
+      days after the first of its month (the month-end payout run);
+    * period keys: every payment of the payments clock's month;
+    * ticks: the raw ticks from ``TICKS_SPLIT_DAY`` on, applied to the
+      stored ticks before the day after it (one overlapping day);
+    * admin logins: the audit log's ADMIN rows.
+    """
+
+    def __init__(self, d: Domain):
+        self.d = d
+
+    def _signups(self) -> DataFrame:
+        a = self.d.audit_logs
+        return a.filter((F.col("actor_type") == "STUDENT") & (F.col("action") == "INSERT"))
+
+    def registrations(self) -> DataFrame:
+        s = self._signups()
+        return s.select(
+            F.col("log_id").alias("seq"),
+            F.lit("User").alias("first_name"),
+            F.col("actor_id").cast("string").alias("last_name"),
+            F.concat(F.lit("u"), F.col("actor_id").cast("string"), F.lit("@example.org")).alias("email"),
+            F.concat(F.lit(SIGNUP_PASSWORD_PREFIX), F.lpad(F.col("log_id").cast("string"), 8, "0")).alias("password"),
+            F.lit(None).cast("string").alias("gender"),
+            F.lit(1).alias("year_of_study"),
+            F.year("logged_at").alias("year_enrolled"),
+            F.lit("CAFE").alias("student_type"),
+            F.lit(None).cast("long").alias("department_id"),
+            F.lit(None).cast("long").alias("dormitory_id"),
+        )
+
+    def approvals(self) -> DataFrame:
+        return self._signups().select(F.col("log_id").alias("cmd_id"), F.col("actor_id").alias("student_id"),
+                                      F.lit(WORKFLOW_ADMIN).cast("long").alias("admin_id"),
+                                      F.col("logged_at").alias("ts"))
+
+    def payment_commands(self) -> DataFrame:
+        p = self.d.cash_payments
+        month_start = F.make_timestamp_ntz(F.col("payment_year"), F.col("payment_month"), F.lit(1), F.lit(0),
+                                           F.lit(0), F.lit(0))
+        def cmd(kind: str, offset: int, days: int) -> DataFrame:
+            return p.select((F.col("payment_id") * 2 + offset).alias("cmd_id"), "payment_id",
+                            F.lit(kind).alias("kind"), F.lit(WORKFLOW_ADMIN).cast("long").alias("admin_id"),
+                            F.timestamp_add("DAY", F.lit(days), month_start).alias("ts"))
+        return cmd("confirm", 0, 1).unionByName(cmd("send", 1, 2))
+
+    def period_keys(self) -> DataFrame:
+        return self.d.cash_payments.filter(
+            (F.col("payment_month") == PAYMENTS_AS_OF.month) & (F.col("payment_year") == PAYMENTS_AS_OF.year)
+        ).select("student_id", "payment_month", "payment_year")
+
+    def stored_ticks(self) -> DataFrame:
+        return self.d.meal_attendance.filter(F.col("meal_date") <= F.lit(TICKS_SPLIT_DAY))
+
+    def new_ticks(self) -> DataFrame:
+        return self.d.meal_attendance_raw.filter(F.col("meal_date") >= F.lit(TICKS_SPLIT_DAY)).select(
+            F.col("attendance_id").alias("seq"), "student_id", "menu_id", "meal_type", "meal_date", "recorded_at")
+
+    def admin_logins(self) -> DataFrame:
+        a = self.d.audit_logs
+        return a.filter(F.col("actor_type") == "ADMIN").select(F.col("actor_id").alias("admin_id"),
+                                                               F.col("logged_at").alias("ts"))
+
+
 def load_domain(spark: SparkSession, sf_dir: str) -> Domain:
     return Domain(spark, sf_dir)

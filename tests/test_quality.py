@@ -85,3 +85,14 @@ def test_assign_ids_after_stored_max(spark, seed):
     new = spark.createDataFrame([(3,), (1,), (2,)], "seq long")
     got = sorted(rows(Q.assign_ids(new, "student_id", seed["students"], "seq"), "seq", "student_id"))
     assert got == [(1, 6), (2, 7), (3, 8)]
+
+
+def test_failed_row_cannot_win_a_key(spark, seed):
+    # row 1 fails the FK, so row 2 is the one stored; row 3 then collides
+    t = spark.createDataFrame([(1, 1, 99, "LUNCH"), (2, 1, 4, "LUNCH"), (3, 1, 5, "LUNCH")],
+                              "seq long, student_id long, menu_id long, meal_type string")
+    t = t.withColumn("meal_date", F.lit(dt.date(2026, 5, 1)))
+    rules = Q.attendance_rules(t, seed["meal_attendance"], seed["students"], seed["menus"], order_col="seq")
+    valid, rejected = Q.split_valid(t, rules, "seq")
+    assert rows(valid, "seq") == [(2,)]
+    assert sorted(rows(rejected, "seq", "first_reason")) == [(1, "FK"), (3, "UNIQUE")]
