@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stipendlens.plans.joins import distinct_keys
+from stipendlens.plans.lineage import cut_lineage
 from stipendlens.plans.ranking import dense_ids
 from stipendlens.schemas import (ACTOR_TYPES, ADMIN_ROLES, AUDIT_ACTIONS, GENDERS, MAX_LENGTHS, MEAL_TYPES,
                                  PAYMENT_STATUSES, STUDENT_TYPES, TABLES)
@@ -231,10 +232,16 @@ def _reason_rank(col: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in REASON_ORDER]), col)
 
 
-def split_valid(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str) -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str,
+                materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejected)``: every input row lands in exactly one of them.
     ``rejected`` adds ``first_reason``, ``first_rule``, ``message`` and
-    ``rule_ids`` (all failing rules, at most one per rule)."""
+    ``rule_ids`` (all failing rules, at most one per rule).
+
+    With ``materialize`` the per-row verdicts are checkpointed (reliably,
+    under ``spark.checkpoint.dir``) so that several consumers - the valid
+    rows, the rejected rows, id numbering, audit rows - do not re-run the
+    joins and aggregates of the rules."""
     key = [key] if isinstance(key, str) else list(key)
     v = violations(df, rules, key)
     per_row = v.groupBy(*key).agg(
@@ -244,6 +251,8 @@ def split_valid(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str)
     per_row = per_row.select(*key, F.col("__first.reason").alias("first_reason"),
                              F.col("__first.rule_id").alias("first_rule"),
                              F.col("__first.message").alias("message"), "rule_ids")
+    if materialize:
+        per_row = cut_lineage(per_row)
     valid = df.join(per_row.select(*key), key, "left_anti")
     rejected = df.join(per_row, key, "inner")
     return valid, rejected

@@ -115,7 +115,7 @@ def register_students(students: DataFrame, requests: DataFrame, departments: Dat
     req = req.select("seq", "password", *REGISTRATION_FIELDS)
     req = req.withColumn("is_approved", F.lit(False)).withColumn("created_at", _ts(as_of))
     rules = Q.student_rules(req, students, departments, dormitories, order_col="seq", ingest=True)
-    valid, rejected = Q.split_valid(req, rules, "seq")
+    valid, rejected = Q.split_valid(req, rules, "seq", materialize=True)
     new = Q.assign_ids(valid, "student_id", students, "seq")
     inserted = _cast_to(new, STUDENTS)
     table = _cast_to(students, STUDENTS).unionByName(inserted)
@@ -154,7 +154,7 @@ def create_payments(payments: DataFrame, requests: DataFrame, students: DataFram
     req = (requests.withColumn("amount", F.lit("3000.00").cast("decimal(10,2)"))
            .withColumn("status", F.lit("PENDING")))
     rules = Q.payment_rules(req, payments, students, order_col="seq")
-    valid, rejected = Q.split_valid(req, rules, "seq")
+    valid, rejected = Q.split_valid(req, rules, "seq", materialize=True)
     new = Q.assign_ids(valid, "payment_id", payments, "seq")
     for c in ("confirmed_by", "confirmed_at", "sent_at"):
         new = new.withColumn(c, F.lit(None))
@@ -279,7 +279,7 @@ def record_ticks(attendance: DataFrame, ticks: DataFrame, students: DataFrame, m
     menus are rejected. The tick's meal_type need not equal the menu's."""
     t = Q.apply_defaults(ticks, Q.table_defaults("meal_attendance", as_of))
     rules = Q.attendance_rules(t, attendance, students, menus, order_col=("recorded_at", "seq"))
-    valid, rejected = Q.split_valid(t, rules, "seq")
+    valid, rejected = Q.split_valid(t, rules, "seq", materialize=True)
     new = Q.assign_ids(valid, "attendance_id", attendance, "seq")
     inserted = _cast_to(new, MEAL_ATTENDANCE)
     table = _cast_to(attendance, MEAL_ATTENDANCE).unionByName(inserted)

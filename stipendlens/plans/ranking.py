@@ -18,6 +18,14 @@ job. ``rank_within`` computes the same SQL ``RANK()`` as a prefix count:
 4. join the rank back on (partition, value), NULL-safe.
 
 NULL placement follows PostgreSQL: NULLs last ascending, first descending.
+
+The side tables (per-partition statistics, bucket bounds, per-bucket
+counts) have structural size bounds: one row per partition key, and at most
+``buckets`` rows per key. Without partition columns they are broadcast
+outright (1, 1 and <= ``buckets`` rows); with partition columns their size
+is the number of keys, which AQE measures after the aggregate stage and
+turns into a broadcast when small. No count job is run on them: a count
+would recompute the whole upstream plan.
 """
 
 from __future__ import annotations
@@ -27,8 +35,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipendlens.plans.joins import bounded_broadcast
-
 _P = "__rk_p"
 
 
@@ -57,6 +63,7 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     """``df`` plus column ``out`` = RANK() OVER (PARTITION BY by ORDER BY value)."""
     by = list(by)
     base = df
+    small = (lambda x: F.broadcast(x)) if not by else (lambda x: x)
     if not by:
         base = df.withColumn(_P, F.lit(0))
         by = [_P]
@@ -69,12 +76,12 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
         F.coalesce(F.sum(F.when(v.isNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nulls"),
         F.coalesce(F.sum(F.when(v.isNotNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nonnull"),
     )
-    part_stats = bounded_broadcast(part_stats)
+    part_stats = small(part_stats)
 
     if nb > 1:
         fracs = [i / nb for i in range(1, nb)]
         bounds = nonnull.groupBy(*by).agg(F.percentile_approx(value, fracs, accuracy).alias("__rk_bounds"))
-        bucketed = _nsjoin(nonnull, bounded_broadcast(bounds), by).withColumn(
+        bucketed = _nsjoin(nonnull, small(bounds), by).withColumn(
             "__rk_b", F.size(F.filter("__rk_bounds", lambda b: b < v))).drop("__rk_bounds")
     else:
         bucketed = nonnull.withColumn("__rk_b", F.lit(0))
@@ -89,7 +96,7 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     wv = Window.partitionBy(*by, "__rk_b").orderBy(order_v).rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("__rk_before_v", F.coalesce(F.sum("__rk_n").over(wv), F.lit(0)))
 
-    ranked = _nsjoin(_nsjoin(within, bounded_broadcast(per_bucket), by + ["__rk_b"]), part_stats, by)
+    ranked = _nsjoin(_nsjoin(within, small(per_bucket), by + ["__rk_b"]), part_stats, by)
     lead_nulls = F.col("__rk_nulls") if descending else F.lit(0)
     nonnull_ranks = ranked.select(
         *by, value, (F.lit(1) + F.col("__rk_before_b") + F.col("__rk_before_v") + lead_nulls).alias(out))
