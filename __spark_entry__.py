@@ -26,6 +26,7 @@ from pyspark.sql import types as T  # noqa: E402
 import oracle_queries  # noqa: E402
 from stipendlens.operators import quality as Q  # noqa: E402
 from stipendlens.operators import reports as R  # noqa: E402
+from stipendlens.operators import views as V  # noqa: E402
 from stipendlens.operators import workflows as W  # noqa: E402
 from stipendlens.sources.mapping import (ATTENDANCE_AS_OF, PAYMENTS_AS_OF, WORKFLOW_ADMIN,  # noqa: E402
                                          WORKFLOW_AS_OF, Commands, Domain)
@@ -43,9 +44,23 @@ def _money_as_double(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_DOMAINS: dict[tuple[int, str], Domain] = {}
+
+
+def _domain(spark: SparkSession, sf_dir: str) -> Domain:
+    """One lazily mapped set of domain tables per (session, directory), like
+    temp views registered once: the plans are reused, the data is re-read by
+    every query."""
+    key = (id(spark), sf_dir)
+    d = _DOMAINS.get(key)
+    if d is None or d.spark is not spark:
+        d = _DOMAINS[key] = Domain(spark, sf_dir)
+    return d
+
+
 def _q(build: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _money_as_double(build(Domain(spark, sf_dir)))
+        return _money_as_double(build(_domain(spark, sf_dir)))
     run.__doc__ = build.__doc__
     return run
 
@@ -148,6 +163,10 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "q1_dual_claims": lambda d: R.dual_claims(d.students, d.meal_attendance, d.cash_payments),
     "q1_dual_claims_shifted": lambda d: R.dual_claims(d.students, d.meal_attendance,
                                                       _shift_years(d.cash_payments, 26)),
+    "v01_payment_tracker": lambda d: V.payment_tracker(R.student_payments(d.students, d.cash_payments)),
+    "v02_audit_feed": lambda d: V.audit_feed(R.recent_audit(d.audit_logs, 50)),
+    "v03_profile_card": lambda d: V.profile_card(R.student_profiles(d.students, d.departments, d.dormitories)),
+    "v04_meal_feed": lambda d: V.meal_feed(R.student_recent_meals(d.students, d.meal_attendance, d.menus, 30)),
     "c01_payment_violations": _payment_violations,
     "c02_attendance_violations": _attendance_violations,
     "c03_student_violations": _student_violations,

@@ -233,7 +233,7 @@ def _reason_rank(col: Column) -> Column:
 
 
 def split_valid(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str,
-                materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+                materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejected)``: every input row lands in exactly one of them.
     ``rejected`` adds ``first_reason``, ``first_rule``, ``message`` and
     ``rule_ids`` (all failing rules, at most one per rule).

@@ -6,10 +6,16 @@ as the bound is exceeded) and otherwise returns the frame unchanged, so the
 join stays a shuffle join that AQE may still convert or split for skew.
 The row bound comes from the session's broadcast threshold divided by an
 estimated row width of the (already projected) frame.
+
+Verdicts are memoized per (canonical plan hash, input files, bound): the
+same dimension checked by several reports in one session is counted once,
+and a rewritten table (new part files) is counted again.
 """
 
 from __future__ import annotations
 
+import threading
+from collections import OrderedDict
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -42,6 +48,30 @@ def _budget_bytes(df: DataFrame) -> int:
     return value
 
 
+_VERDICTS: OrderedDict = OrderedDict()
+_LOCK = threading.Lock()
+_MAX_VERDICTS = 512
+
+
+def _fits(df: DataFrame, max_rows: int) -> bool:
+    try:
+        key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    except Exception:  # plans without file sources
+        key = None
+    if key is not None:
+        with _LOCK:
+            if key in _VERDICTS:
+                _VERDICTS.move_to_end(key)
+                return _VERDICTS[key]
+    fits = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        with _LOCK:
+            _VERDICTS[key] = fits
+            while len(_VERDICTS) > _MAX_VERDICTS:
+                _VERDICTS.popitem(last=False)
+    return fits
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``."""
     if max_rows is None:
@@ -49,8 +79,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
         if budget <= 0:
             return df
         max_rows = max(1, budget // estimated_row_bytes(df))
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if _fits(df, max_rows) else df
 
 
 def distinct_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:

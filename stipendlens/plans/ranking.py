@@ -17,6 +17,11 @@ job. ``rank_within`` computes the same SQL ``RANK()`` as a prefix count:
    1/buckets of a partition's distinct values);
 4. join the rank back on (partition, value), NULL-safe.
 
+The distinct (partition, value, multiplicity) table feeds four branches;
+it is checkpointed once (reliably, under ``spark.checkpoint.dir``) so the
+upstream plan runs twice in total - once for the counts, once for the rows
+the ranks are joined to - instead of once per branch.
+
 NULL placement follows PostgreSQL: NULLs last ascending, first descending.
 
 The side tables (per-partition statistics, bucket bounds, per-bucket
@@ -35,6 +40,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stipendlens.plans.lineage import cut_lineage
+
 _P = "__rk_p"
 
 
@@ -70,7 +77,7 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     nb = _buckets(df, buckets)
     v = F.col(value)
 
-    counts = base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__rk_n"))
+    counts = cut_lineage(base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__rk_n")))
     nonnull = counts.filter(v.isNotNull())
     part_stats = counts.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(v.isNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nulls"),
