@@ -28,6 +28,7 @@ from stipendlens.operators import quality as Q  # noqa: E402
 from stipendlens.operators import reports as R  # noqa: E402
 from stipendlens.operators import views as V  # noqa: E402
 from stipendlens.operators import workflows as W  # noqa: E402
+from stipendlens.streaming.ticks import event_tick_stream, run_tick_pipeline  # noqa: E402
 from stipendlens.sources.mapping import (ATTENDANCE_AS_OF, PAYMENTS_AS_OF, WORKFLOW_ADMIN,  # noqa: E402
                                          WORKFLOW_AS_OF, Commands, Domain)
 
@@ -134,6 +135,14 @@ def _delete_unavailable_menus(d: Domain) -> DataFrame:
     return blocked
 
 
+def _stream_dashboard(d: Domain) -> DataFrame:
+    """T1 + T2 run to completion over the events file as a stream source."""
+    n_parts = d.raw("part").count()
+    source = event_tick_stream(d.spark, f"{d.sf_dir.rstrip('/')}/events.parquet*", n_parts)
+    _, dash = run_tick_pipeline(d.spark, source)
+    return d.spark.read.parquet(dash)
+
+
 _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "r01_attendance_detail": lambda d: R.attendance_detail(d.meal_attendance, d.students, d.menus),
     "r02_payment_status": lambda d: R.payment_status(d.students, d.departments, d.cash_payments, PAYMENTS_AS_OF),
@@ -187,6 +196,7 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "m11_stamp_last_login": lambda d: W.stamp_last_login(d.admins, Commands(d).admin_logins()).table,
     "m12_delete_students_cascade": _delete_unapproved,
     "m12_delete_menus_restrict": _delete_unavailable_menus,
+    "t01_stream_daily_dashboard": _stream_dashboard,
 }
 
 

@@ -49,6 +49,22 @@ def _map(col: Column, mapping: dict) -> Column:
     return out
 
 
+def events_to_ticks(events: DataFrame, n_parts) -> DataFrame:
+    """Meal ticks from events (batch or streaming); ``n_parts`` is a column
+    (a scalar subquery in batch) or a number (streaming plans take no
+    subqueries)."""
+    n = n_parts if isinstance(n_parts, Column) else F.lit(int(n_parts))
+    e = events.filter(F.col("event_type").isin(*EVENT_TO_MEAL))
+    return e.select(
+        F.col("event_id").alias("attendance_id"),
+        F.col("user_id").alias("student_id"),
+        (F.col("event_id") % n).alias("menu_id"),
+        F.to_date("ts").alias("meal_date"),
+        _map(F.col("event_type"), EVENT_TO_MEAL).alias("meal_type"),
+        F.col("ts").alias("recorded_at"),
+    )
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Keep the first row per key. ``row_number() = 1`` is planned with a
     partial WindowGroupLimit before the shuffle, so each map task ships at
@@ -158,16 +174,8 @@ class Domain:
 
     @cached_property
     def meal_attendance_raw(self) -> DataFrame:
-        e = self.raw("events").filter(F.col("event_type").isin(*EVENT_TO_MEAL))
         n_parts = self.raw("part").select(F.count(F.lit(1))).scalar()
-        return e.select(
-            F.col("event_id").alias("attendance_id"),
-            F.col("user_id").alias("student_id"),
-            (F.col("event_id") % n_parts).alias("menu_id"),
-            F.to_date("ts").alias("meal_date"),
-            _map(F.col("event_type"), EVENT_TO_MEAL).alias("meal_type"),
-            F.col("ts").alias("recorded_at"),
-        )
+        return events_to_ticks(self.raw("events"), n_parts)
 
     @cached_property
     def meal_attendance(self) -> DataFrame:
