@@ -112,6 +112,30 @@ def matches(col: str, regex: str, message: str) -> Rule:
     return Rule(f"pattern:{col}", "PATTERN", F.col(col).isNotNull() & ~F.col(col).rlike(regex), message, (col,))
 
 
+def castable(col: str, sql_type: str) -> Rule:
+    """Input-syntax rule for text columns bound to a typed column: a present
+    value that does not parse (``try_cast`` gives NULL) is a violation."""
+    c = F.col(col)
+    bad = c.isNotNull() & F.expr(f"try_cast(`{col}` AS {sql_type})").isNull()
+    msg = F.concat(F.lit(f"invalid input syntax for type {sql_type}: \""), c.cast("string"), F.lit("\""))
+    return Rule(f"type:{col}", "DOMAIN", bad, msg, (col,))
+
+
+def coerce_form_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Text form fields to numbers the way the registration page did it
+    (``Number(text)``): blank text becomes 0, text that is not a number
+    becomes NULL (NaN travels as JSON null), numbers keep their value.
+    Results are bigint; fractional input is cut toward zero."""
+    out = df
+    for name in cols:
+        t = F.trim(F.col(name).cast("string"))
+        num = F.expr(f"try_cast(trim(cast(`{name}` AS string)) AS double)")
+        out = out.withColumn(name, F.when(F.col(name).isNull(), F.lit(None))
+                             .when(t == "", F.lit(0))
+                             .otherwise(num).cast("long"))
+    return out
+
+
 def unique(*cols: str, name: str | None = None, existing: DataFrame | None = None,
            order_col: str | Sequence[str] | None = None) -> Rule:
     """UNIQUE over ``cols``; within the batch the row first in ``order_col``

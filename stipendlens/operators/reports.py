@@ -393,3 +393,18 @@ def dual_claims(students: DataFrame, attendance: DataFrame, payments: DataFrame)
          .select(F.lit("c").alias("claim"), "student_id", "student_type", "claim_year", "claim_month",
                  full_name().alias("student_name")))
     return a.unionByName(b).unionByName(c).orderBy("claim", "student_id", "claim_year", "claim_month")
+
+
+# ------------------------------------------------------------ S3 / E3
+def student_portal(student_ids: DataFrame, students: DataFrame, departments: DataFrame, dormitories: DataFrame,
+                   payments: DataFrame, attendance: DataFrame, menus: DataFrame,
+                   n: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The student portal for a set of students (point lookups re-aimed as a
+    semi join with a key frame; Parquet pushes nothing per key, but the
+    join touches only the rows of those students): profile, payments (NON_CAFE
+    students only) and the latest ``n`` meals (CAFE students only)."""
+    keys = distinct_keys(student_ids.select(F.col(student_ids.columns[0]).alias("student_id")), ["student_id"])
+    s = students.join(keys, "student_id", "left_semi")
+    return (student_profiles(s, departments, dormitories),
+            student_payments(s, payments.join(keys, "student_id", "left_semi")),
+            student_recent_meals(s, attendance.join(keys, "student_id", "left_semi"), menus, n))

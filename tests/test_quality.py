@@ -96,3 +96,11 @@ def test_failed_row_cannot_win_a_key(spark, seed):
     valid, rejected = Q.split_valid(t, rules, "seq")
     assert rows(valid, "seq") == [(2,)]
     assert sorted(rows(rejected, "seq", "first_reason")) == [(1, "FK"), (3, "UNIQUE")]
+
+
+def test_form_number_coercion_and_castable(spark):
+    df = spark.createDataFrame([(1, "3"), (2, ""), (3, "abc"), (4, None), (5, " 2 ")], "seq long, year_of_study string")
+    assert rows(Q.coerce_form_numbers(df, ["year_of_study"]), "seq", "year_of_study") == [
+        (1, 3), (2, 0), (3, None), (4, None), (5, 2)]
+    v = rows(Q.violations(df, [Q.castable("year_of_study", "int")], "seq"), "seq", "message")
+    assert sorted(v) == [(2, 'invalid input syntax for type int: ""'), (3, 'invalid input syntax for type int: "abc"')]

@@ -156,3 +156,12 @@ def test_plain_window_agrees(seed):
     b = R.payment_history_window(seed["cash_payments"], seed["students"], seed["departments"])
     assert rows(a) == rows(b)
     assert a.filter(F.col("rank_by_year") > 0).count() == 2
+
+
+def test_student_portal(spark, seed):
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    prof, pays, meals = R.student_portal(ids, seed["students"], seed["departments"], seed["dormitories"],
+                                         seed["cash_payments"], seed["meal_attendance"], seed["menus"])
+    assert sorted(rows(prof, "student_id")) == [(1,), (2,)]
+    assert rows(pays, "student_id", "payment_month") == [(2, 4), (2, 3), (2, 2)]
+    assert rows(meals, "student_id", "item_name") == [(1, "Kinche"), (1, "Shiro Wot")]
