@@ -212,13 +212,18 @@ def _foreign_key(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
     return _tag(missing, r, key)
 
 
-def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str) -> DataFrame:
+def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str,
+               materialize: bool = True) -> DataFrame:
     """All (row, rule) failures of ``df`` as ``key..., rule_id, reason, message``.
     ``key`` must identify a row of the batch (duplicate keys merge rows).
 
     Two phases: every rule except in-batch uniqueness first; then the
     in-batch UNIQUE test, whose key winners are the first rows (in
-    ``order_col`` order) that passed phase one."""
+    ``order_col`` order) that passed phase one. Each phase-one rule is a
+    narrow branch (key + the rule's columns). With ``materialize`` the
+    phase-one violations - usually far fewer rows than the batch - are
+    checkpointed once when in-batch rules need them, instead of re-running
+    every branch."""
     key = [key] if isinstance(key, str) else list(key)
     rules = [r for r in rules if all(c in df.columns for c in r.cols)]
     parts = []
@@ -232,23 +237,27 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str) -
                 parts.append(stored)
         elif r.reason == "FK":
             parts.append(_foreign_key(df, r, key))
+    phase1 = None
+    if parts:
+        phase1 = parts[0]
+        for p in parts[1:]:
+            phase1 = phase1.unionByName(p)
     uniques = [r for r in rules if r.reason == "UNIQUE"]
-    if uniques:
-        candidates = df
-        if parts:
-            first = parts[0]
-            for p in parts[1:]:
-                first = first.unionByName(p)
-            candidates = df.join(first.select(*key), key, "left_anti")
-        for r in uniques:
-            parts.append(_unique_in_batch(df, candidates, r, key))
-    if not parts:
+    if not uniques:
+        if phase1 is not None:
+            return phase1
         schema = T.StructType([df.schema[k] for k in key] + [T.StructField(c, T.StringType()) for c in
                                                                VIOLATION_FIELDS])
         return df.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    candidates = df
+    if phase1 is not None:
+        if materialize:
+            phase1 = cut_lineage(phase1)
+        candidates = df.join(phase1.select(*key), key, "left_anti")
+    out = phase1
+    for r in uniques:
+        part = _unique_in_batch(df, candidates, r, key)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
