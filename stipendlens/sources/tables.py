@@ -85,3 +85,36 @@ def read_domain(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON result sink (S8): one JSON object per row, like the REST payloads."""
     df.write.mode(mode).json(path)
+
+
+def commit_result(spark: SparkSession, root: str, name: str, result, audit_rows: DataFrame | None = None) -> dict:
+    """Write a workflow ``Result`` back to the domain tables under ``root``.
+
+    1. the new rows of the touched partitions (all rows for unpartitioned
+       tables) and the audit rows are materialized with a reliable
+       checkpoint, so nothing reads the files being replaced;
+    2. they replace only those partitions (dynamic partition overwrite);
+    3. the audit rows are numbered after the stored maximum and appended;
+       the log is never rewritten.
+
+    Parquet has no multi-table transaction: a failure between 2 and 3
+    leaves the table written and the audit rows missing (re-running the
+    audit step is safe, the table step is idempotent).
+    Returns row counts of what was written."""
+    from stipendlens.operators.workflows import append_audit, touched_partitions
+    from stipendlens.plans.lineage import cut_lineage
+
+    new_rows = cut_lineage(touched_partitions(result.table, result.changed, name))
+    # the audit rows derive from the old table too: materialize them before it is replaced
+    audit = cut_lineage(result.audit if audit_rows is None else audit_rows)
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        write_domain_table(new_rows, root, name, mode="overwrite")
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    stored_audit = read_domain_table(spark, root, "audit_logs")
+    _, appended = append_audit(stored_audit, audit)
+    appended = cut_lineage(appended)
+    write_domain_table(appended, root, "audit_logs", mode="append")
+    return {"rows_written": new_rows.count(), "audit_appended": appended.count()}

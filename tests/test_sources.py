@@ -27,3 +27,31 @@ def test_roundtrip_and_partition_pruning(spark, seed):
     r8 = R.daily_attendance(t["meal_attendance"], SEED_TODAY)
     r8.collect()
     assert "PartitionFilters: [isnotnull(meal_date" in _plan(r8)
+
+
+def test_commit_payment_commands(spark, seed):
+    import datetime as dt
+    import os
+
+    from stipendlens.operators import workflows as W
+    from stipendlens.sources.tables import commit_result
+
+    root = tempfile.mkdtemp(prefix="domain-")
+    write_domain(seed, root)
+    t = read_domain(spark, root)
+    march = os.path.join(root, "cash_payments", "payment_year=2026", "payment_month=3")
+    before = {f: os.path.getmtime(os.path.join(march, f)) for f in os.listdir(march)}
+    cmds = spark.createDataFrame([(1, 4, "confirm", 2, dt.datetime(2026, 4, 16)),
+                                  (2, 4, "send", 2, dt.datetime(2026, 4, 17)),
+                                  (3, 1, "send", 2, dt.datetime(2026, 4, 17))],
+                                 "cmd_id long, payment_id long, kind string, admin_id long, ts timestamp_ntz")
+    res = W.apply_payment_commands(t["cash_payments"], cmds)
+    out = commit_result(spark, root, "cash_payments", res)
+    assert out["audit_appended"] == 2
+    after = read_domain(spark, root)
+    assert rows(after["cash_payments"].filter("payment_id = 4"), "status", "confirmed_by") == [("SENT", 2)]
+    assert after["cash_payments"].count() == 5
+    # the untouched March partition was not rewritten
+    assert {f: os.path.getmtime(os.path.join(march, f)) for f in os.listdir(march)} == before
+    log = rows(after["audit_logs"].orderBy("log_id"), "log_id", "new_value")
+    assert log[-2:] == [(4, "Confirmed payment"), (5, "Marked payment as SENT")]
