@@ -1,8 +1,9 @@
 """Structured Streaming versions of tick ingest (T1) and the daily
 dashboard (T2)."""
 
-from stipendlens.streaming.ticks import (dashboard_stream, dedup_ticks, run_tick_pipeline, start_dashboard,
-                                         start_tick_ingest, tick_stream)
+from stipendlens.streaming.ticks import (dashboard_stream, dedup_ticks, event_tick_stream, run_tick_pipeline,
+                                         start_dashboard, start_tick_ingest, stream_daily_dashboard, stream_ticks,
+                                         tick_stream)
 
-__all__ = ["dashboard_stream", "dedup_ticks", "run_tick_pipeline", "start_dashboard", "start_tick_ingest",
-           "tick_stream"]
+__all__ = ["dashboard_stream", "dedup_ticks", "event_tick_stream", "run_tick_pipeline", "start_dashboard",
+           "start_tick_ingest", "stream_daily_dashboard", "stream_ticks", "tick_stream"]

@@ -117,3 +117,13 @@ def run_tick_pipeline(spark: SparkSession, source_path: str | DataFrame, work_di
                          f"{base}/_checkpoints/dashboard", lateness)
     q2.awaitTermination()
     return ticks_path, dash_path
+
+
+def stream_ticks(stream: DataFrame, checkpoint: str, path: str, lateness: str = "2 days") -> StreamingQuery:
+    """T1 under its inventory name: de-duplicated tick ingest into ``path``."""
+    return start_tick_ingest(stream, path, checkpoint, lateness)
+
+
+def stream_daily_dashboard(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """T2 under its inventory name: the streaming dashboard frame."""
+    return dashboard_stream(stream, lateness)
