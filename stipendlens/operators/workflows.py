@@ -210,29 +210,36 @@ def apply_payment_commands(payments: DataFrame, commands: DataFrame) -> Result:
     * every other command is rejected (a NULL status matches no guard).
 
     One aggregate per payment (two ``min`` over (ts, cmd_id, admin_id),
-    combined map-side) and one join; no per-command loop."""
+    combined map-side), a narrow join with the payments' status that
+    decides which commands win, and one join that applies the winners; no
+    per-command loop. Payments without commands pass through unchanged."""
     kind = F.lower(F.col("kind"))
     ev = F.struct(F.col("ts"), F.col("cmd_id"), F.col("admin_id"))
     firsts = commands.groupBy("payment_id").agg(
         F.min(F.when(kind == "confirm", ev)).alias("__c"),
         F.min(F.when(kind == "send", ev)).alias("__s"))
-    j = payments.join(firsts, "payment_id", "left")
-    st, c, s = F.col("status"), F.col("__c"), F.col("__s")
-    c_ok = c.isNotNull() & (st == "PENDING") & (s.isNull() | (c < s))
-    s_ok = s.isNotNull() & st.isin("PENDING", "CONFIRMED")
-    j = j.withColumn("__c_ok", F.coalesce(c_ok, F.lit(False))).withColumn("__s_ok", F.coalesce(s_ok, F.lit(False)))
+    # decisions need only (payment_id, status): a narrow join, one row per commanded payment
+    status = payments.select("payment_id", F.col("status").alias("__st"))
+    st, c, s = F.col("__st"), F.col("__c"), F.col("__s")
+    decisions = firsts.join(status, "payment_id", "inner").select(
+        "payment_id", "__c", "__s",
+        F.coalesce(c.isNotNull() & (st == "PENDING") & (s.isNull() | (c < s)), F.lit(False)).alias("__c_ok"),
+        F.coalesce(s.isNotNull() & st.isin("PENDING", "CONFIRMED"), F.lit(False)).alias("__s_ok"),
+    ).filter(F.col("__c_ok") | F.col("__s_ok"))
     c_ok, s_ok = F.col("__c_ok"), F.col("__s_ok")
+    j = payments.join(decisions, "payment_id", "left")
+    hit_c, hit_s = F.coalesce(c_ok, F.lit(False)), F.coalesce(s_ok, F.lit(False))
     updated = j.select(
         *[F.col(x) for x in payments.columns if x not in ("status", "confirmed_by", "confirmed_at", "sent_at")],
-        F.when(s_ok, F.lit("SENT")).when(c_ok, F.lit("CONFIRMED")).otherwise(st).alias("status"),
-        F.when(c_ok, c["admin_id"]).otherwise(F.col("confirmed_by")).alias("confirmed_by"),
-        F.when(c_ok, c["ts"]).otherwise(F.col("confirmed_at")).alias("confirmed_at"),
-        F.when(s_ok, s["ts"]).otherwise(F.col("sent_at")).alias("sent_at"),
-        c_ok.alias("__c_ok"), s_ok.alias("__s_ok"), c["cmd_id"].alias("__c_id"), s["cmd_id"].alias("__s_id"))
+        F.when(hit_s, F.lit("SENT")).when(hit_c, F.lit("CONFIRMED")).otherwise(F.col("status")).alias("status"),
+        F.when(hit_c, c["admin_id"]).otherwise(F.col("confirmed_by")).alias("confirmed_by"),
+        F.when(hit_c, c["ts"]).otherwise(F.col("confirmed_at")).alias("confirmed_at"),
+        F.when(hit_s, s["ts"]).otherwise(F.col("sent_at")).alias("sent_at"),
+        (hit_c | hit_s).alias("__changed"))
     table = _cast_to(updated, CASH_PAYMENTS)
-    changed = _cast_to(updated.filter(c_ok | s_ok), CASH_PAYMENTS)
-    accepted = (updated.filter(c_ok).select(F.col("__c_id").alias("cmd_id"))
-                .unionByName(updated.filter(s_ok).select(F.col("__s_id").alias("cmd_id"))))
+    changed = _cast_to(updated.filter("__changed"), CASH_PAYMENTS)
+    accepted = decisions.select(F.explode(F.array(F.when(c_ok, c["cmd_id"]), F.when(s_ok, s["cmd_id"]))).alias(
+        "cmd_id")).filter(F.col("cmd_id").isNotNull())
     done = commands.join(accepted, "cmd_id", "left_semi")
     rejected = commands.join(accepted, "cmd_id", "left_anti").withColumn(
         "message", F.when(kind == "confirm", F.lit(PENDING_NOT_FOUND)).otherwise(F.lit(NOT_FOUND_OR_SENT)))
