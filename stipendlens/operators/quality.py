@@ -53,7 +53,7 @@ STRONG_PASSWORD = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*\d).{8,}$"
 VIOLATION_FIELDS = ["rule_id", "reason", "message"]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Rule:
     rule_id: str
     reason: str
@@ -173,11 +173,11 @@ def _tag(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
 
 
 def _present(df: DataFrame, r: Rule) -> DataFrame:
-    order = r.order_col or None
+    """Rows whose key columns are all present (NULL never collides)."""
     out = df
     for c in r.cols:
         out = out.filter(F.col(c).isNotNull())
-    return out, order
+    return out
 
 
 def _order_expr(r: Rule, key: Sequence[str]) -> Column:
@@ -188,7 +188,7 @@ def _order_expr(r: Rule, key: Sequence[str]) -> Column:
 def _unique_stored(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame | None:
     if r.existing is None:
         return None
-    present, _ = _present(df, r)
+    present = _present(df, r)
     return _tag(present.join(distinct_keys(r.existing, list(r.cols)), list(r.cols), "left_semi"), r, key)
 
 
@@ -197,9 +197,8 @@ def _unique_in_batch(df: DataFrame, candidates: DataFrame, r: Rule, key: Sequenc
     other rule is stored, every later row with that key collides. Rows that
     fail some other rule are never stored, so they cannot win a key."""
     cols = list(r.cols)
-    present, _ = _present(df, r)
-    present = present.withColumn("__ord", _order_expr(r, key))
-    cand, _ = _present(candidates, r)
+    present = _present(df, r).withColumn("__ord", _order_expr(r, key))
+    cand = _present(candidates, r)
     winners = cand.withColumn("__ord", _order_expr(r, key)).groupBy(*cols).agg(F.min("__ord").alias("__first"))
     later = present.join(winners, cols, "inner").filter(F.col("__ord") > F.col("__first"))
     return _tag(later, r, key)

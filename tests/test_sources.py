@@ -55,3 +55,14 @@ def test_commit_payment_commands(spark, seed):
     assert {f: os.path.getmtime(os.path.join(march, f)) for f in os.listdir(march)} == before
     log = rows(after["audit_logs"].orderBy("log_id"), "log_id", "new_value")
     assert log[-2:] == [(4, "Confirmed payment"), (5, "Marked payment as SENT")]
+
+
+def test_postgres_options():
+    import pytest
+
+    from stipendlens.sources.tables import postgres_options
+    o = postgres_options("jdbc:postgresql://db/x", "students", user="u", partition_column="student_id",
+                         lower_bound=1, upper_bound=2000, num_partitions=8)
+    assert o["partitionColumn"] == "student_id" and o["numPartitions"] == "8" and o["dbtable"] == "students"
+    with pytest.raises(ValueError):
+        postgres_options("jdbc:postgresql://db/x", "students", partition_column="student_id")
