@@ -32,6 +32,15 @@ def period_of(as_of: dt.date | dt.datetime) -> tuple[int, int]:
     return as_of.month, as_of.year
 
 
+def ntz_literal(value: dt.datetime | dt.date) -> Column:
+    """A TIMESTAMP_NTZ literal with the same wall-clock value in every
+    session and process time zone (a datetime literal would be shifted
+    through the local and session zones)."""
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, dt.time())
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def month_label(col: Column | str = "payment_month") -> Column:
     """1..12 -> Jan..Dec; anything else -> NULL (element_at would fail in ANSI mode)."""
     c = _c(col)

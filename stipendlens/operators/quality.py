@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stipendlens.functions.scalars import ntz_literal
 from stipendlens.plans.joins import distinct_keys
 from stipendlens.plans.lineage import cut_lineage
 from stipendlens.plans.ranking import dense_ids
@@ -309,7 +310,7 @@ def assign_ids(df: DataFrame, id_col: str, existing: DataFrame | None, order_col
 
 
 def table_defaults(table: str, as_of: dt.datetime) -> dict[str, Column]:
-    ts = F.lit(as_of).cast("timestamp_ntz")
+    ts = ntz_literal(as_of)
     return {
         "students": {"is_approved": F.lit(False), "created_at": ts},
         "admins": {"role": F.lit("CAFE_MANAGER"), "is_active": F.lit(True)},

@@ -188,6 +188,8 @@ def unpaid_students(students: DataFrame, departments: DataFrame, payments: DataF
 def daily_attendance(attendance: DataFrame, as_of: dt.date) -> DataFrame:
     """Per meal on the day: distinct students and ticks. Meals without a
     tick produce no row; breakfast, lunch, dinner order."""
+    if isinstance(as_of, dt.datetime):
+        as_of = as_of.date()
     day = attendance.filter(F.col("meal_date") == F.lit(as_of))
     out = day.groupBy("meal_type").agg(
         F.count_distinct("student_id").alias("students_attended"),

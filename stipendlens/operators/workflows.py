@@ -27,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stipendlens.functions.scalars import period_of
+from stipendlens.functions.scalars import ntz_literal, period_of
 from stipendlens.operators import quality as Q
 from stipendlens.plans.joins import bounded_broadcast, distinct_keys
 from stipendlens.plans.ranking import dense_ids
@@ -62,7 +62,7 @@ class Result(NamedTuple):
 
 
 def _ts(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz_literal(value)
 
 
 def _cast_to(df: DataFrame, schema) -> DataFrame:
@@ -191,9 +191,9 @@ def create_monthly_payments(payments: DataFrame, students: DataFrame, as_of: dt.
     skipped = eligible.join(existing, "student_id", "left_semi").withColumn(
         "message", F.lit("Payment already exists for this student/month."))
     spark = payments.sparkSession
-    one = spark.createDataFrame([(int(admin_id), as_of)], "admin_id long, ts timestamp_ntz")
+    one = spark.createDataFrame([(int(admin_id),)], "admin_id long")
     audit = audit_rows(one, F.col("admin_id"), "ADMIN", "INSERT", PAYMENTS_TABLE, F.lit(None), F.lit(BULK_TEXT),
-                       F.col("ts"), F.lit(0))
+                       _ts(as_of), F.lit(0))
     return Result(table, inserted, skipped, audit)
 
 
