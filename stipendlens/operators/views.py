@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipendlens.functions.scalars import (MISSING, approval_label, dorm_label, first_non_empty, format_date,
+from stipendlens.functions.scalars import (approval_label, dorm_label, first_non_empty, format_date,
                                            format_timestamp, month_label, status_label)
 
 MEAL_FALLBACK = "Meal"  # fixed value: label for a tick whose menu is gone
@@ -60,4 +60,4 @@ def meal_feed(student_recent_meals: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["payment_tracker", "audit_feed", "profile_card", "meal_feed", "MISSING"]
+__all__ = ["payment_tracker", "audit_feed", "profile_card", "meal_feed"]
