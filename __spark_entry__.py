@@ -28,7 +28,7 @@ from stipendlens.operators import quality as Q  # noqa: E402
 from stipendlens.operators import reports as R  # noqa: E402
 from stipendlens.operators import views as V  # noqa: E402
 from stipendlens.operators import workflows as W  # noqa: E402
-from stipendlens.streaming.ticks import event_tick_stream, run_tick_pipeline  # noqa: E402
+from stipendlens.streaming.ticks import event_tick_stream, run_tick_streams  # noqa: E402
 from stipendlens.sources.mapping import (ATTENDANCE_AS_OF, PAYMENTS_AS_OF, WORKFLOW_ADMIN,  # noqa: E402
                                          WORKFLOW_AS_OF, Commands, Domain)
 
@@ -139,7 +139,7 @@ def _stream_dashboard(d: Domain) -> DataFrame:
     """T1 + T2 run to completion over the events file as a stream source."""
     n_parts = d.raw("part").count()
     source = event_tick_stream(d.spark, f"{d.sf_dir.rstrip('/')}/events.parquet*", n_parts)
-    _, dash = run_tick_pipeline(d.spark, source)
+    _, dash = run_tick_streams(d.spark, source)
     return d.spark.read.parquet(dash)
 
 

@@ -102,7 +102,7 @@ def event_tick_stream(spark: SparkSession, events_path: str, n_parts: int,
     return events_to_ticks(reader.parquet(events_path), n_parts)
 
 
-def run_tick_pipeline(spark: SparkSession, source_path: str | DataFrame, work_dir: str | None = None,
+def run_tick_streams(spark: SparkSession, source_path: str | DataFrame, work_dir: str | None = None,
                       max_files_per_trigger: int | None = None, lateness: str = "2 days") -> tuple[str, str]:
     """Run T1 then T2 to completion (``availableNow`` triggers) over the tick
     files in ``source_path`` (or over a ready streaming frame of ticks) and

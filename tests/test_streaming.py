@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from stipendlens.operators import reports as R
-from stipendlens.streaming import run_tick_pipeline
+from stipendlens.streaming import run_tick_streams
 from tests.conftest import rows
 
 
@@ -35,7 +35,7 @@ def test_stream_equals_batch(spark):
     # files arrive day by day, in order: one file per day, several micro-batches
     for day in sorted(r[0] for r in ticks.select("meal_date").distinct().collect()):
         ticks.filter(F.col("meal_date") == day).coalesce(1).write.mode("append").parquet(src)
-    ticks_path, dash_path = run_tick_pipeline(spark, src, os.path.join(work, "out"), max_files_per_trigger=1)
+    ticks_path, dash_path = run_tick_streams(spark, src, os.path.join(work, "out"), max_files_per_trigger=1)
     streamed = spark.read.parquet(ticks_path)
     assert streamed.count() == streamed.select("student_id", "meal_date", "meal_type").distinct().count()
     dash = spark.read.parquet(dash_path)
