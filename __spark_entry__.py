@@ -112,6 +112,11 @@ def _approve(d: Domain) -> W.Result:
     return W.approve_students(d.students, Commands(d).approvals())
 
 
+def _create_payments(d: Domain) -> W.Result:
+    empty = d.cash_payments.limit(0)
+    return W.create_payments(empty, Commands(d).payment_requests(), d.students, WORKFLOW_AS_OF)
+
+
 def _commands(d: Domain) -> W.Result:
     return W.apply_payment_commands(d.cash_payments, Commands(d).payment_commands())
 
@@ -184,6 +189,9 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "m01_register_students": lambda d: _register(d).changed,
     "m01_register_rejected": lambda d: _register(d).rejected.select("seq", "first_reason", "message"),
     "m02_approve_students": lambda d: _approve(d).changed,
+    "m03_create_payments": lambda d: _create_payments(d).changed,
+    "m03_create_payments_rejected": lambda d: _create_payments(d).rejected.select("seq", "first_reason",
+                                                                                    "message"),
     "m04_monthly_payments": lambda d: W.create_monthly_payments(d.cash_payments, d.students, _payments_clock(),
                                                                 WORKFLOW_ADMIN).changed,
     "m05_payment_commands": lambda d: _commands(d).table,

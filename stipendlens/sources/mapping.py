@@ -251,6 +251,13 @@ class Commands:
                             F.timestamp_add("DAY", F.lit(days), month_start).alias("ts"))
         return cmd("confirm", 0, 1).unionByName(cmd("send", 1, 2))
 
+    def payment_requests(self) -> DataFrame:
+        """Every raw payment row as a single create request, in payment_id
+        order, by the workflow admin."""
+        return self.d.cash_payments_raw.select(F.col("payment_id").alias("seq"), "student_id", "payment_month",
+                                               "payment_year",
+                                               F.lit(WORKFLOW_ADMIN).cast("long").alias("admin_id"))
+
     def period_keys(self) -> DataFrame:
         return self.d.cash_payments.filter(
             (F.col("payment_month") == PAYMENTS_AS_OF.month) & (F.col("payment_year") == PAYMENTS_AS_OF.year)
