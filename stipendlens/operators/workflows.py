@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from stipendlens.functions.scalars import ntz_literal, period_of
 from stipendlens.operators import quality as Q
 from stipendlens.plans.joins import bounded_broadcast, distinct_keys
+from stipendlens.plans.lineage import cut_lineage
 from stipendlens.plans.ranking import dense_ids
 from stipendlens.schemas import AUDIT_LOGS, CASH_PAYMENTS, MEAL_ATTENDANCE, PARTITION_COLUMNS, PRIMARY_KEYS, STUDENTS
 
@@ -180,7 +181,8 @@ def create_monthly_payments(payments: DataFrame, students: DataFrame, as_of: dt.
                                              & (F.col("is_approved") == True)), ["student_id"])  # noqa: E712
     existing = distinct_keys(payments.filter((F.col("payment_month") == month) & (F.col("payment_year") == year)),
                              ["student_id"])
-    todo = eligible.join(existing, "student_id", "left_anti")
+    # the ids to pay (one long each) are numbered in three passes: materialize them once
+    todo = cut_lineage(eligible.join(existing, "student_id", "left_anti"))
     start = payments.select(F.max("payment_id")).scalar()
     new = dense_ids(todo, "student_id", start, "payment_id").select(
         "payment_id", "student_id", F.lit("3000.00").cast("decimal(10,2)").alias("amount"),
@@ -299,7 +301,8 @@ def append_audit(audit: DataFrame, new_rows: DataFrame) -> tuple[DataFrame, Data
     order) and append them: returns ``(new_table, appended)``. Stored rows
     are never rewritten; write ``appended`` with mode ``append``."""
     start = audit.select(F.max("log_id")).scalar()
-    numbered = dense_ids(new_rows.drop("log_id"), "audit_seq", start, "log_id")
+    # audit rows are few next to the data they describe: materialize once, then number
+    numbered = dense_ids(cut_lineage(new_rows.drop("log_id")), "audit_seq", start, "log_id")
     appended = _cast_to(numbered, AUDIT_LOGS)
     return _cast_to(audit, AUDIT_LOGS).unionByName(appended), appended
 
