@@ -162,8 +162,13 @@ def _row_local(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> Data
     local = [r for r in rules if r.fails is not None]
     if not local:
         return None
-    arr = F.array(*[F.when(F.coalesce(r.fails, F.lit(False)), _violation_struct(r)) for r in local])
-    v = df.select(*key, F.filter(arr, lambda x: x.isNotNull()).alias("__v"))
+    fails = [F.coalesce(r.fails, F.lit(False)) for r in local]
+    any_fail = fails[0]
+    for f in fails[1:]:
+        any_fail = any_fail | f
+    # valid rows (the bulk) are dropped before any per-row array is built
+    arr = F.array(*[F.when(f, _violation_struct(r)) for f, r in zip(fails, local)])
+    v = df.filter(any_fail).select(*key, F.filter(arr, lambda x: x.isNotNull()).alias("__v"))
     return v.select(*key, F.explode("__v").alias("__v")).select(*key, *[F.col(f"__v.{c}").alias(c)
                                                                         for c in VIOLATION_FIELDS])
 
@@ -193,15 +198,27 @@ def _unique_stored(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame | No
     return _tag(present.join(distinct_keys(r.existing, list(r.cols)), list(r.cols), "left_semi"), r, key)
 
 
-def _unique_in_batch(df: DataFrame, candidates: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
+def _unique_in_batch(df: DataFrame, failing: DataFrame | None, r: Rule, key: Sequence[str]) -> DataFrame:
     """Rows inserted one by one: the first row of a key that passes every
     other rule is stored, every later row with that key collides. Rows that
-    fail some other rule are never stored, so they cannot win a key."""
+    fail some other rule are never stored, so they cannot win a key.
+
+    One aggregate per key gives (rows, first clean order); only keys that
+    occur more than once are kept, so the join back is against the
+    duplicated keys alone - usually small enough for AQE to broadcast
+    instead of shuffling the batch."""
     cols = list(r.cols)
     present = _present(df, r).withColumn("__ord", _order_expr(r, key))
-    cand = _present(candidates, r)
-    winners = cand.withColumn("__ord", _order_expr(r, key)).groupBy(*cols).agg(F.min("__ord").alias("__first"))
-    later = present.join(winners, cols, "inner").filter(F.col("__ord") > F.col("__first"))
+    if failing is not None:
+        present = present.join(failing.withColumn("__bad", F.lit(True)), key, "left")
+        clean = F.col("__bad").isNull()
+    else:
+        clean = F.lit(True)
+    dup = (present.groupBy(*cols)
+           .agg(F.count(F.lit(1)).alias("__n"), F.min(F.when(clean, F.col("__ord"))).alias("__first"))
+           .filter((F.col("__n") > 1) & F.col("__first").isNotNull())
+           .drop("__n"))
+    later = present.join(dup, cols, "inner").filter(F.col("__ord") > F.col("__first"))
     return _tag(later, r, key)
 
 
@@ -249,14 +266,14 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str,
         schema = T.StructType([df.schema[k] for k in key] + [T.StructField(c, T.StringType()) for c in
                                                                VIOLATION_FIELDS])
         return df.sparkSession.createDataFrame([], schema)
-    candidates = df
+    failing = None
     if phase1 is not None:
         if materialize:
             phase1 = cut_lineage(phase1)
-        candidates = df.join(phase1.select(*key), key, "left_anti")
+        failing = phase1.select(*key).distinct()
     out = phase1
     for r in uniques:
-        part = _unique_in_batch(df, candidates, r, key)
+        part = _unique_in_batch(df, failing, r, key)
         out = part if out is None else out.unionByName(part)
     return out
 
