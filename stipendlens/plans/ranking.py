@@ -28,9 +28,9 @@ The side tables (per-partition statistics, bucket bounds, per-bucket
 counts) have structural size bounds: one row per partition key, and at most
 ``buckets`` rows per key. Without partition columns they are broadcast
 outright (1, 1 and <= ``buckets`` rows); with partition columns their size
-is the number of keys, which AQE measures after the aggregate stage and
-turns into a broadcast when small. No count job is run on them: a count
-would recompute the whole upstream plan.
+follows the number of keys and is checked with ``bounded_broadcast`` - a
+cheap count, since they derive from the checkpointed counts - with a
+shuffle join beyond the bound.
 """
 
 from __future__ import annotations
@@ -40,21 +40,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stipendlens.plans.joins import bounded_broadcast
 from stipendlens.plans.lineage import cut_lineage
 
-_P = "__rk_p"
-
-
-def _nsjoin(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL (partition keys may be NULL)."""
-    renamed = right.select(*[F.col(c).alias(f"__rk_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = None
-    for k in keys:
-        e = left[k].eqNullSafe(renamed[f"__rk_r_{k}"])
-        cond = e if cond is None else cond & e
-    return left.join(renamed, cond, how).drop(*[f"__rk_r_{k}" for k in keys])
-
-
 def _buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return max(1, int(buckets))
@@ -67,61 +55,56 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
 
 def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = True,
                 out: str = "rank", buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
-    """``df`` plus column ``out`` = RANK() OVER (PARTITION BY by ORDER BY value)."""
+    """``df`` plus column ``out`` = RANK() OVER (PARTITION BY by ORDER BY value).
+
+    The partition columns travel as one struct column: struct equality
+    treats NULL fields as equal, so NULL partitions join like any other,
+    and every join and window below is keyed by the same expressions, so
+    a side already partitioned by a window is not shuffled again."""
     by = list(by)
-    base = df
-    small = (lambda x: F.broadcast(x)) if not by else (lambda x: x)
-    if not by:
-        base = df.withColumn(_P, F.lit(0))
-        by = [_P]
+    # side tables: <= buckets rows without partition columns (broadcast as is); with
+    # partition columns one row (or <= buckets rows) per key, derived from the checkpointed
+    # counts, so the size check reads the checkpoint instead of re-running the upstream
+    small = (lambda x: F.broadcast(x)) if not by else bounded_broadcast
     nb = _buckets(df, buckets)
     v = F.col(value)
+    k = "__rk_k"
+    base = df.withColumn(k, F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("p")))
 
-    counts = cut_lineage(base.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__rk_n")))
+    counts = cut_lineage(base.groupBy(k, value).agg(F.count(F.lit(1)).alias("__rk_n")))
     nonnull = counts.filter(v.isNotNull())
-    part_stats = counts.groupBy(*by).agg(
+    part_stats = small(counts.groupBy(k).agg(
         F.coalesce(F.sum(F.when(v.isNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nulls"),
         F.coalesce(F.sum(F.when(v.isNotNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nonnull"),
-    )
-    part_stats = small(part_stats)
+    ))
 
     if nb > 1:
         fracs = [i / nb for i in range(1, nb)]
-        bounds = nonnull.groupBy(*by).agg(F.percentile_approx(value, fracs, accuracy).alias("__rk_bounds"))
-        bucketed = _nsjoin(nonnull, small(bounds), by).withColumn(
+        bounds = nonnull.groupBy(k).agg(F.percentile_approx(value, fracs, accuracy).alias("__rk_bounds"))
+        bucketed = nonnull.join(small(bounds), k, "inner").withColumn(
             "__rk_b", F.size(F.filter("__rk_bounds", lambda b: b < v))).drop("__rk_bounds")
     else:
         bucketed = nonnull.withColumn("__rk_b", F.lit(0))
 
     order_b = F.desc("__rk_b") if descending else F.asc("__rk_b")
-    per_bucket = bucketed.groupBy(*by, "__rk_b").agg(F.sum("__rk_n").alias("__rk_bn"))
-    wb = Window.partitionBy(*by).orderBy(order_b).rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(*by, "__rk_b",
-                                   F.coalesce(F.sum("__rk_bn").over(wb), F.lit(0)).alias("__rk_before_b"))
+    per_bucket = bucketed.groupBy(k, "__rk_b").agg(F.sum("__rk_n").alias("__rk_bn"))
+    wb = Window.partitionBy(k).orderBy(order_b).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.select(k, "__rk_b", F.coalesce(F.sum("__rk_bn").over(wb), F.lit(0)).alias("__rk_before_b"))
 
     order_v = v.desc() if descending else v.asc()
-    wv = Window.partitionBy(*by, "__rk_b").orderBy(order_v).rowsBetween(Window.unboundedPreceding, -1)
+    wv = Window.partitionBy(k, "__rk_b").orderBy(order_v).rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("__rk_before_v", F.coalesce(F.sum("__rk_n").over(wv), F.lit(0)))
 
-    ranked = _nsjoin(_nsjoin(within, small(per_bucket), by + ["__rk_b"]), part_stats, by)
+    ranked = within.join(small(per_bucket), [k, "__rk_b"], "inner").join(part_stats, k, "inner")
     lead_nulls = F.col("__rk_nulls") if descending else F.lit(0)
     nonnull_ranks = ranked.select(
-        *by, value, (F.lit(1) + F.col("__rk_before_b") + F.col("__rk_before_v") + lead_nulls).alias(out))
-
+        k, value, (F.lit(1) + F.col("__rk_before_b") + F.col("__rk_before_v") + lead_nulls).alias(out))
     null_rank = F.lit(1) if descending else F.lit(1) + F.col("__rk_nonnull")
-    null_ranks = _nsjoin(counts.filter(v.isNull()), part_stats, by).select(*by, value, null_rank.alias(out))
-
-    ranks = nonnull_ranks.unionByName(null_ranks)
-    ranks = ranks.select(*[F.col(c).alias(f"__rk_k{i}") for i, c in enumerate(by)],
-                         F.col(value).alias("__rk_kv"), F.col(out).cast("long").alias(out))
-    cond = base[value].eqNullSafe(ranks["__rk_kv"])
-    for i, c in enumerate(by):
-        cond = cond & base[c].eqNullSafe(ranks[f"__rk_k{i}"])
-    joined = base.join(ranks, cond, "inner")
-    drop = [f"__rk_k{i}" for i in range(len(by))] + ["__rk_kv"]
-    if by == [_P]:
-        drop.append(_P)
-    return joined.drop(*drop)
+    null_ranks = counts.filter(v.isNull()).join(part_stats, k, "inner").select(k, value, null_rank.alias(out))
+
+    j = "__rk_j"  # (partition, value) as one NULL-safe join key
+    ranks = nonnull_ranks.unionByName(null_ranks).select(F.struct(k, value).alias(j), F.col(out).cast("long").alias(out))
+    return base.withColumn(j, F.struct(k, value)).join(ranks, j, "inner").drop(j, k)
 
 
 def dense_ids(df: DataFrame, order_col: str, start, out: str, buckets: int | None = None,
