@@ -107,35 +107,28 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     return base.withColumn(j, F.struct(k, value)).join(ranks, j, "inner").drop(j, k)
 
 
-def dense_ids(df: DataFrame, order_col: str, start, out: str, buckets: int | None = None,
-              accuracy: int = 10000) -> DataFrame:
+def dense_ids(df: DataFrame, order_col: str, start, out: str) -> DataFrame:
     """Ids ``start + 1, start + 2, ...`` in the order of the unique, non-NULL
     column ``order_col``; ``start`` is a literal or a scalar Column (e.g. a
     scalar subquery over the stored table's max id).
 
-    Distributed like a range-partitioned ``zipWithIndex``, with DataFrame
-    operators only: approximate quantiles of ``order_col`` (one scalar
-    aggregate) cut the rows into buckets of similar size; per-bucket counts
-    (at most ``buckets`` rows, broadcast) give each bucket its offset; inside
-    a bucket ``row_number()`` numbers the rows. One shuffle of the rows, no
-    task holds more than about 1/buckets of them, and the ids depend only
-    on the data, so a recomputed task yields the same ids. Ties in
-    ``order_col`` would make the numbering among them arbitrary: pass a key."""
+    A range-partitioned ``zipWithIndex`` in DataFrame operators:
+    ``orderBy`` range-partitions the rows (Spark samples the key, so the
+    partitions are balanced and each holds a contiguous key range); every row
+    is tagged with its partition and its position inside it, and the tagged
+    rows are checkpointed, so the tags - and therefore the ids - never
+    change when a task is recomputed. Per-partition counts (one row per
+    partition, broadcast) give each partition its offset. One sort, one
+    checkpoint, no task beyond one sort partition."""
     start_col = start if not isinstance(start, (int, float)) else F.lit(int(start))
-    nb = _buckets(df, buckets)
-    v = F.col(order_col)
-    if nb > 1:
-        fracs = [i / nb for i in range(1, nb)]
-        bounds = df.agg(F.percentile_approx(order_col, fracs, accuracy)).scalar()
-        bucketed = df.withColumn("__id_bounds", bounds).withColumn(
-            "__id_b", F.size(F.filter("__id_bounds", lambda b: b < v))).drop("__id_bounds")
-    else:
-        bucketed = df.withColumn("__id_b", F.lit(0))
-    sizes = bucketed.groupBy("__id_b").agg(F.count(F.lit(1)).alias("__id_n"))
-    wb = Window.orderBy("__id_b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows in total
-    offsets = sizes.select("__id_b", F.coalesce(F.sum("__id_n").over(wb), F.lit(0)).alias("__id_off"))
-    wr = Window.partitionBy("__id_b").orderBy(v.asc())
-    numbered = bucketed.join(F.broadcast(offsets), "__id_b", "inner").withColumn("__id_rn", F.row_number().over(wr))
-    return (numbered.withColumn(out, (F.coalesce(start_col, F.lit(0)) + F.col("__id_off") + F.col("__id_rn"))
-                                .cast("long"))
-            .drop("__id_b", "__id_off", "__id_rn"))
+    ordered = df.orderBy(F.col(order_col).asc())
+    # partition index and in-partition position, fixed by the checkpoint
+    tagged = cut_lineage(ordered.withColumn("__id_p", F.spark_partition_id())
+                         .withColumn("__id_m", F.monotonically_increasing_id()))
+    sizes = tagged.groupBy("__id_p").agg(F.count(F.lit(1)).alias("__id_n"), F.min("__id_m").alias("__id_m0"))
+    wp = Window.orderBy("__id_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("__id_p", "__id_m0", F.coalesce(F.sum("__id_n").over(wp), F.lit(0)).alias("__id_off"))
+    numbered = tagged.join(F.broadcast(offsets), "__id_p", "inner")
+    pos = F.col("__id_m") - F.col("__id_m0")
+    return (numbered.withColumn(out, (F.coalesce(start_col, F.lit(0)) + F.col("__id_off") + pos + 1).cast("long"))
+            .drop("__id_p", "__id_m", "__id_m0", "__id_off"))
