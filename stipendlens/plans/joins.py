@@ -72,6 +72,18 @@ def _fits(df: DataFrame, max_rows: int) -> bool:
     return fits
 
 
+def broadcast_row_budget(df: DataFrame, row_bytes: int) -> int:
+    """Rows of width ``row_bytes`` that fit the session's broadcast threshold
+    (0 when broadcasting is disabled)."""
+    budget = _budget_bytes(df)
+    return max(0, budget // max(1, row_bytes)) if budget > 0 else 0
+
+
+def fits_rows(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows (a LIMIT count, memoized)."""
+    return max_rows > 0 and _fits(df, max_rows)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``."""
     if max_rows is None:

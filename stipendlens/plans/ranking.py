@@ -28,9 +28,8 @@ The side tables (per-partition statistics, bucket bounds, per-bucket
 counts) have structural size bounds: one row per partition key, and at most
 ``buckets`` rows per key. Without partition columns they are broadcast
 outright (1, 1 and <= ``buckets`` rows); with partition columns their size
-follows the number of keys and is checked with ``bounded_broadcast`` - a
-cheap count, since they derive from the checkpointed counts - with a
-shuffle join beyond the bound.
+follows the number of keys, which is checked once - a cheap count over the
+checkpointed counts - with shuffle joins beyond the bound.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipendlens.plans.joins import bounded_broadcast
+from stipendlens.plans.joins import broadcast_row_budget, fits_rows
 from stipendlens.plans.lineage import cut_lineage
 
 def _buckets(df: DataFrame, buckets: int | None) -> int:
@@ -62,10 +61,7 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     and every join and window below is keyed by the same expressions, so
     a side already partitioned by a window is not shuffled again."""
     by = list(by)
-    # side tables: <= buckets rows without partition columns (broadcast as is); with
-    # partition columns one row (or <= buckets rows) per key, derived from the checkpointed
-    # counts, so the size check reads the checkpoint instead of re-running the upstream
-    small = (lambda x: F.broadcast(x)) if not by else bounded_broadcast
+    small = F.broadcast
     nb = _buckets(df, buckets)
     v = F.col(value)
     k = "__rk_k"
@@ -73,10 +69,16 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
 
     counts = cut_lineage(base.groupBy(k, value).agg(F.count(F.lit(1)).alias("__rk_n")))
     nonnull = counts.filter(v.isNotNull())
-    part_stats = small(counts.groupBy(k).agg(
+    stats = counts.groupBy(k).agg(
         F.coalesce(F.sum(F.when(v.isNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nulls"),
         F.coalesce(F.sum(F.when(v.isNotNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nonnull"),
-    ))
+    )
+    if by:
+        # every side table has at most `nb` rows per partition key: one check of the key
+        # count (over the checkpoint, not the upstream) bounds all three
+        if not fits_rows(stats.select(k), broadcast_row_budget(df, 96) // max(1, nb)):
+            small = lambda x: x  # noqa: E731  (beyond the bound: shuffle joins)
+    part_stats = small(stats)
 
     if nb > 1:
         fracs = [i / nb for i in range(1, nb)]
