@@ -31,3 +31,20 @@ def test_cluster_settings_for_100tb():
     s = cluster_settings(100 << 40, 8000)
     assert int(s["spark.sql.shuffle.partitions"]) == 100_000
     assert cluster_settings(1 << 30, 8000)["spark.sql.shuffle.partitions"] == "16000"
+
+
+def test_results_do_not_depend_on_shuffle_partitions(spark):
+    import __spark_entry__ as E
+
+    names = ["m03_create_payments", "m04_monthly_payments", "m09_append_audit", "r10_payment_history",
+             "c01_payment_violations"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {}
+    try:
+        for n in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got[n] = {q: sorted(map(tuple, E.queries()[q](spark, "/root/testdata/sf0.001").collect())) for q in names}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for q in names:
+        assert got["3"][q] == got["17"][q], q
