@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stipendlens.functions.scalars import ntz_literal, period_of
 from stipendlens.operators import quality as Q
-from stipendlens.plans.joins import bounded_broadcast, distinct_keys
+from stipendlens.plans.joins import distinct_keys
 from stipendlens.plans.ranking import dense_ids
 from stipendlens.schemas import AUDIT_LOGS, CASH_PAYMENTS, MEAL_ATTENDANCE, PARTITION_COLUMNS, PRIMARY_KEYS, STUDENTS
 
@@ -46,10 +46,6 @@ INVALID_CREDENTIALS = "Invalid credentials"
 STUDENTS_TABLE = "Students"
 PAYMENTS_TABLE = "Cash_Payments"
 
-AUDIT_COLUMNS = [f.name for f in AUDIT_LOGS.fields]
-STUDENT_COLUMNS = [f.name for f in STUDENTS.fields]
-PAYMENT_COLUMNS = [f.name for f in CASH_PAYMENTS.fields]
-TICK_COLUMNS = [f.name for f in MEAL_ATTENDANCE.fields]
 REGISTRATION_FIELDS = ["first_name", "last_name", "email", "gender", "year_of_study", "year_enrolled",
                        "student_type", "department_id", "dormitory_id"]
 
@@ -86,17 +82,16 @@ def _no_audit(df: DataFrame) -> DataFrame:
                       F.lit(None)).limit(0)
 
 
-def _no_rows(df: DataFrame) -> DataFrame:
-    return df.limit(0)
-
-
 def touched_partitions(table: DataFrame, changed: DataFrame, name: str) -> DataFrame:
     """Rows of ``table`` in the partitions that ``changed`` touches: what a
-    dynamic-partition-overwrite write of the new version needs to rewrite."""
+    dynamic-partition-overwrite write of the new version needs to rewrite.
+    The touched partition values are bounded by the table's partition
+    directories (days, or year-months), so they are broadcast without a
+    count job (which would recompute ``changed``)."""
     parts = PARTITION_COLUMNS.get(name) or []
     if not parts:
         return table
-    return table.join(bounded_broadcast(distinct_keys(changed, parts)), parts, "left_semi")
+    return table.join(F.broadcast(distinct_keys(changed, parts)), parts, "left_semi")
 
 
 # ------------------------------------------------------------------ M1
