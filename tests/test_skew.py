@@ -3,6 +3,8 @@ driver's data). With broadcasts disabled and low AQE skew thresholds, the
 shuffle join is split by AQE and results do not change; per-student top-N
 ships at most n rows per map task for the hot student."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from stipendlens.operators import reports as R
@@ -60,3 +62,21 @@ def test_hot_student_top_n_is_limited_before_shuffle(spark):
     partial = plan.index("WindowGroupLimit [student_id")
     assert "Partial" in plan[partial:].split("\n")[0] or "Partial" in plan
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_hot_year_rank_is_not_one_window_partition(spark):
+    from stipendlens.plans.ranking import rank_within
+
+    d = Domain(spark, SF)
+    per = d.cash_payments.withColumn("payment_year", F.lit(1998)).groupBy("student_id", "payment_year").agg(
+        F.sum("amount").alias("total"))
+    ranked = rank_within(per, "total", by=["payment_year"], out="r", buckets=8)
+    got = sorted(r[0] for r in ranked.select("r").collect())
+    assert got[0] == 1 and len(got) == per.count()
+    plan = _plan(ranked)
+    windows = [l for l in plan.splitlines() if "Window [" in l]
+    # prefix counts over the values run in windows keyed by (year, bucket); the only
+    # window keyed by the year alone runs over per-bucket totals (<= 8 rows)
+    specs = [l.split("], [")[1].strip() for l in windows]
+    assert any("__rk_b" in sp for sp in specs)
+    assert not any(re.fullmatch(r"payment_year#\d+L?", sp) for sp in specs)
