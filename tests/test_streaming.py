@@ -44,3 +44,30 @@ def test_stream_equals_batch(spark):
         want = [(m, s, s) for m, s, _ in want]  # batch total counts raw ticks; after T1 one per student
         got = sorted(rows(dash.filter(F.col("meal_date") == day), "meal_type", "students_attended", "total_ticks"))
         assert got == sorted(want)
+
+
+def test_late_tick_is_dropped_by_stream_but_kept_by_batch(spark, seed):
+    from stipendlens.operators import workflows as W
+
+    schema = ("attendance_id long, student_id long, menu_id long, meal_date date, meal_type string, "
+              "recorded_at timestamp_ntz")
+    work = tempfile.mkdtemp(prefix="stream-late-")
+    src = os.path.join(work, "in")
+    base = dt.date(2026, 4, 1)
+    for i in range(5):  # days 1..5 arrive in order, one micro-batch each
+        day = base + dt.timedelta(days=i)
+        spark.createDataFrame([(i + 1, 1, 1, day, "LUNCH", dt.datetime.combine(day, dt.time(12)))], schema) \
+            .coalesce(1).write.mode("append").parquet(src)
+    # then a tick for day 1 (student 3) arrives: 4 days behind the latest day, beyond the 2-day watermark
+    late_day = base
+    spark.createDataFrame([(99, 3, 2, late_day, "LUNCH", dt.datetime(2026, 4, 6, 9))], schema) \
+        .coalesce(1).write.mode("append").parquet(src)
+    ticks_path, _ = run_tick_streams(spark, src, os.path.join(work, "out"), max_files_per_trigger=1)
+    streamed = spark.read.parquet(ticks_path)
+    assert streamed.filter("student_id = 3").count() == 0 and streamed.count() == 5
+    # the batch rule has no time limit: the same tick is accepted
+    late = spark.createDataFrame([(99, 3, 2, "LUNCH", late_day, dt.datetime(2026, 4, 6, 9))],
+                                 "seq long, student_id long, menu_id long, meal_type string, meal_date date, "
+                                 "recorded_at timestamp_ntz")
+    r = W.record_ticks(seed["meal_attendance"], late, seed["students"], seed["menus"], dt.datetime(2026, 4, 6))
+    assert r.changed.count() == 1
