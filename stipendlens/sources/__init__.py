@@ -1,7 +1,10 @@
-"""Sources and sinks: fixed-schema Parquet tables, the mapping of the
-driver's TPC-H-like tables onto the domain, and the seed fixture."""
+"""Sources and sinks: fixed-schema Parquet tables, the loader and commit
+path, a PostgreSQL JDBC reader, the mapping of the driver's TPC-H-like
+tables onto the domain, and the seed fixture."""
 
-from stipendlens.sources.mapping import Domain, load_domain
-from stipendlens.sources.tables import read_domain_table, read_raw, write_domain_table
+from stipendlens.sources.mapping import Domain, StoredDomain, load_domain, load_stored_domain
+from stipendlens.sources.tables import (commit_result, read_domain, read_domain_table, read_postgres_table, read_raw,
+                                        write_domain, write_domain_table, write_json)
 
-__all__ = ["Domain", "load_domain", "read_domain_table", "read_raw", "write_domain_table"]
+__all__ = ["Domain", "StoredDomain", "load_domain", "load_stored_domain", "commit_result", "read_domain",
+           "read_domain_table", "read_postgres_table", "read_raw", "write_domain", "write_domain_table", "write_json"]
