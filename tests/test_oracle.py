@@ -63,3 +63,18 @@ def test_query_matches_oracle(spark, con, name):
     assert _canon(rows, df.columns) == _canon(orows, ocols)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["r08_daily_attendance", "m01_register_students", "m05_payment_commands",
+                                  "m07_force_confirm", "t01_stream_daily_dashboard"])
+def test_time_sensitive_queries_in_another_session_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = E.queries()[name](spark, SF)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    cur = con.execute(E.oracle_sql()[name])
+    ocols = [d[0] for d in cur.description]
+    assert _canon(rows, df.columns) == _canon(cur.fetchall(), ocols)
