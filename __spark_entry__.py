@@ -32,6 +32,13 @@ from stipendlens.streaming.ticks import event_tick_stream, run_tick_streams  # n
 from stipendlens.sources.mapping import (ATTENDANCE_AS_OF, PAYMENTS_AS_OF, WORKFLOW_ADMIN,  # noqa: E402
                                          WORKFLOW_AS_OF, Commands, Domain)
 
+try:
+    from stipendlens.llm import queries as _llm  # noqa: E402
+except ModuleNotFoundError as missing:  # the subpackage may be absent; errors inside it are not hidden
+    if missing.name not in ("stipendlens.llm", "corpus_pipeline"):
+        raise
+    _llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -215,9 +222,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _q(build) for name, build in _REGISTRY.items()}
+    return {name: _q(build) for name, build in _REGISTRY.items()} | (_llm.QUERIES if _llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     sql = oracle_queries.all_oracles()
-    return {k: v for k, v in sql.items() if k in _REGISTRY}
+    return {k: v for k, v in sql.items() if k in _REGISTRY} | (_llm.ORACLES if _llm else {})
