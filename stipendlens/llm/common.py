@@ -53,3 +53,17 @@ def beta_strength(groups: DataFrame, bad: str, n: str, lo: float = 1.0, hi: floa
         return p, hi
     rho = (spread - pq * (r["k"] - 1)) / (pq * base)
     return p, hi if rho <= 1 / (1 + hi) else max(lo, 1 / rho - 1)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """At most ``per_class`` training documents of each label (text, y): the
+    ids of smallest hash outside the held-out fold. The chosen ids are the
+    only thing broadcast, at most 2 * per_class longs."""
+    known = (labels.filter(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id")
+             .agg(F.max(label).cast("int").alias("y")).withColumn("__h", F.xxhash64("doc_id")))
+    chosen = None
+    for y in (0, 1):
+        part = known.filter(F.col("y") == y).orderBy("__h", "doc_id").limit(per_class)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen.drop("__h")), "doc_id").select(
+        "doc_id", text_of().alias("text"), "y")
