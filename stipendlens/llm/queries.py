@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipendlens.llm import chat, host_rules, mixing, quality_bt, toxicity, url_reputation
+from stipendlens.llm import chat, fuzzy_lines, host_rules, mixing, quality_bt, toxicity, url_reputation
 from stipendlens.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
     "op5_host_rules": op5_host_rules,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_url_reputation": op8_url_reputation,
     "op10_toxicity": op10_toxicity,
 }
