@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipendlens.llm import chat, fuzzy_lines, host_rules, mixing, quality_bt, toxicity, url_reputation
+from stipendlens.llm import chat, fuzzy_lines, host_rules, mixing, probminhash, quality_bt, toxicity, url_reputation
 from stipendlens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bt.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -43,6 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op2_probminhash": op2_probminhash,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
     "op5_host_rules": op5_host_rules,
