@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipendlens.llm import chat, fuzzy_lines, host_rules, mixing, probminhash, quality_bt, toxicity, url_reputation
+from stipendlens.llm import chat, fuzzy_lines, host_rules, mixing, probminhash, quality_bt, syncmers, toxicity, url_reputation
 from stipendlens.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
     "op5_host_rules": op5_host_rules,
+    "op6_syncmers": op6_syncmers,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_url_reputation": op8_url_reputation,
     "op10_toxicity": op10_toxicity,
