@@ -44,6 +44,10 @@ from stipendlens.plans.lineage import cut_lineage
 WEIGHTS = (5, 2, 1)
 
 
+#: Side tables hold one row per (source, bucket) or (source, block): broadcast up to so many rows, checked.
+MAX_SIDE_ROWS = 200_000
+
+
 def words_in(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -113,14 +117,14 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WE
     upto = Window.partitionBy("sk").orderBy("shard")
     owned = owned.withColumn("last", F.sum("quota").over(upto)).select("sk", "shard", "last", "quota")
     owned = owned.groupBy("sk").agg(F.sort_array(F.collect_list(F.struct("last", "shard"))).alias("ends"))  # <= shards
-    drawn = drawn.join(bounded_broadcast(owned), "sk").select(
+    drawn = drawn.join(bounded_broadcast(owned, MAX_SIDE_ROWS), "sk").select(
         "sk", "epoch", "block", F.get(F.filter("ends", lambda e: e["last"] >= F.col("at")), F.lit(0))["shard"].alias("shard"))
 
     starts = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(starts), F.lit(0)))
-    buckets = buckets.drop("bucket_size").join(bounded_broadcast(plan.drop("quota")), "sk")
+    buckets = buckets.drop("bucket_size").join(bounded_broadcast(plan.drop("quota"), MAX_SIDE_ROWS), "sk")
     inside = Window.partitionBy("sk", "bucket").orderBy("h", "doc_id", "tie", "size")
-    placed = base.join(bounded_broadcast(buckets), ["sk", "bucket"]).withColumn(
+    placed = base.join(bounded_broadcast(buckets, MAX_SIDE_ROWS), ["sk", "bucket"]).withColumn(
         "n", F.row_number().over(inside)).withColumn(
         "start", F.col("bucket_start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
@@ -128,7 +132,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WE
         F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start"))))
     rows = rows.withColumn("words", words).withColumn(
         "block", F.floor(F.col("start") * F.col("blocks") / F.greatest("source_size", F.lit(1))))
-    rows = rows.join(bounded_broadcast(drawn), ["sk", "epoch", "block"], "left")
+    rows = rows.join(bounded_broadcast(drawn, MAX_SIDE_ROWS), ["sk", "epoch", "block"], "left")
     return rows.select("doc_id", *[f"keep_{c}" for c in keep], F.struct("sk", "bucket", "n").alias("row_key"), "size", "source_size",
                        "target", "epoch", "words", "block", F.when(F.col("words") > 0, F.col("shard")).alias("shard"),
                        F.xxhash64(F.lit(seed + 2), "doc_id", "epoch", "n").alias("shuffle_key"))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stipendlens.llm import chat, fuzzy_lines, host_rules, mixing, probminhash, quality_bt, syncmers, toxicity, url_reputation
+import corpus_pipeline
+from stipendlens.llm import (chat, fuzzy_lines, host_rules, mixing, probminhash, quality_bt, sentencepiece_sa, syncmers, toxicity,
+                             url_reputation)
 from stipendlens.llm.common import table
 
 
@@ -45,6 +47,10 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sa.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_syncmers": op6_syncmers,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_url_reputation": op8_url_reputation,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
