@@ -10,6 +10,7 @@ import corpus_pipeline
 from stipendlens.llm import (chat, fuzzy_lines, host_rules, mixing, probminhash, quality_bt, sentencepiece_sa, syncmers, toxicity,
                              url_reputation)
 from stipendlens.llm.common import table
+from stipendlens.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
