@@ -72,17 +72,22 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]], want:
     return F.lit(None).cast("string") if out is None else out
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def junk_page(html: Column) -> Column:
     """A page's outcome label where none is supplied: its visible text is
     mostly repeated words, symbols or capitals (NULL html: no label)."""
-    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), r"&[a-z]+;", "&")
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    n = F.size(words)
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|!", ""))
-    capitals = F.length(text) - F.length(F.translate(text, _UPPER, ""))
-    chars = F.greatest(F.length(text), F.lit(1))
-    return F.when(html.isNotNull(), (F.size(F.array_distinct(words)) < 0.2 * n) | (symbols > 0.1 * chars)
-                  | (capitals > 0.4 * chars)).cast("int")
+    text = F.regexp_replace(html, r"<(?:script|style)[^<]*|<[^>]*>|&[a-z]+;", " ")
+
+    def junk(t: Column) -> Column:
+        chars = F.length(t)
+        repeated = _let(F.split(t, " +"), lambda w: F.size(F.array_distinct(w)) < 0.2 * F.size(w))
+        return (F.regexp_count(t, F.lit("[#*$%|!]")) > 0.1 * chars) | (F.regexp_count(t, F.lit("[A-Z]")) > 0.4 * chars) | repeated
+
+    return F.when(html.isNotNull(), _let(text, junk)).cast("int")
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
