@@ -17,7 +17,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server owns spark.checkpoint.dir
-        return spark.conf.get("spark.checkpoint.dir", "") or ""
+        configured = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -25,7 +28,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    # unset: only in tests / single-machine runs
+    # unset: fine on one machine; executors of a cluster could not read each other's /tmp
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="stipendlens-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -7,10 +7,13 @@ report filters prune directories, and read back with the domain schema.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from stipendlens.schemas import PARTITION_COLUMNS, TABLES
+from stipendlens.schemas import PARTITION_COLUMNS, PRIMARY_KEYS, TABLES
 
 _NTZ = T.TimestampNTZType()
 
@@ -47,7 +50,7 @@ SORT_COLUMNS = {
 }
 
 
-def write_domain_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
+def write_domain_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", recreate: bool = False) -> None:
     """Write one domain table.
 
     Fact tables are partitioned by period / day so report filters prune
@@ -56,9 +59,12 @@ def write_domain_table(df: DataFrame, root: str, name: str, mode: str = "overwri
     the rows (one busy day) over several tasks and files instead of one.
     Within files rows are sorted by the usual join key, so Parquet min/max
     statistics skip row groups for key lookups. ``mode='append'`` is the
-    audit log's only mode after the initial load (M10). With
-    ``spark.sql.sources.partitionOverwriteMode=dynamic`` an overwrite
-    replaces only the partitions present in ``df``."""
+    audit log's only mode after the initial load (M10). ``mode='partitions'``
+    replaces the partitions present in ``df``, ``mode='overwrite'`` the whole
+    table, whatever the session's partitionOverwriteMode; a stored audit log
+    is overwritten only by a drop-and-recreate load (``recreate``)."""
+    if name == "audit_logs" and mode != "append" and not recreate and _is_stored(df.sparkSession, f"{root.rstrip('/')}/{name}"):
+        raise ValueError("audit_logs is append only")
     cols = [f.name for f in TABLES[name].fields]
     out = df.select(*cols)
     parts = PARTITION_COLUMNS.get(name) or []
@@ -66,16 +72,25 @@ def write_domain_table(df: DataFrame, root: str, name: str, mode: str = "overwri
     sort = SORT_COLUMNS.get(name)
     if sort:
         out = out.sortWithinPartitions(*(parts + sort))
-    w = out.write.mode(mode)
+    w = out.write.mode("overwrite" if mode == "partitions" else mode)
+    if mode != "append":
+        w = w.option("partitionOverwriteMode", "dynamic" if mode == "partitions" else "static")
     if parts:
         w = w.partitionBy(*parts)
     w.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def _is_stored(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
 def write_domain(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
-    """Drop-and-recreate load of all domain tables."""
+    """Drop-and-recreate load of all domain tables (S7): old partitions go too."""
     for name, df in tables.items():
-        write_domain_table(df, root, name, mode)
+        write_domain_table(df, root, name, mode, recreate=True)
 
 
 def read_domain(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -90,34 +105,66 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def commit_result(spark: SparkSession, root: str, name: str, result, audit_rows: DataFrame | None = None) -> dict:
     """Write a workflow ``Result`` back to the domain tables under ``root``.
 
-    1. the new rows of the touched partitions (all rows for unpartitioned
-       tables) and the audit rows are materialized with a reliable
-       checkpoint, so nothing reads the files being replaced;
-    2. they replace only those partitions (dynamic partition overwrite);
-    3. the audit rows are numbered after the stored maximum and appended;
-       the log is never rewritten.
-
-    Parquet has no multi-table transaction: a failure between 2 and 3
-    leaves the table written and the audit rows missing (re-running the
-    audit step is safe, the table step is idempotent).
-    Returns row counts of what was written."""
+    1. the new rows (an insert: the changed rows; an update: the rows of the
+       touched partitions) and the numbered audit rows are staged as Parquet
+       under ``root/pending_runs/<id>``, and a ready mark is written last;
+    2. staged rows replace their partitions (inserts are appended), staged
+       audit rows are appended, and a done mark is written.
+
+    A run that stopped before its ready mark changed nothing. One that
+    stopped later is finished by ``finish_pending`` (called first here), which
+    writes each part only if its rows are not stored yet: the audit log gets
+    exactly one row per event. Returns row counts of what was written."""
     from stipendlens.operators.workflows import append_audit, touched_partitions
-    from stipendlens.plans.lineage import cut_lineage
 
-    new_rows = cut_lineage(touched_partitions(result.table, result.changed, name))
-    # the audit rows derive from the old table too: materialize them before it is replaced
-    audit = cut_lineage(result.audit if audit_rows is None else audit_rows)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        write_domain_table(new_rows, root, name, mode="overwrite")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    finish_pending(spark, root)
+    run = uuid.uuid4().hex
+    folder = f"{root.rstrip('/')}/pending_runs/{run}"
+    insert = bool(getattr(result, "inserts", False))
+    new_rows = result.changed if insert else touched_partitions(result.table, result.changed, name)
+    new_rows.write.parquet(f"{folder}/rows")
     stored_audit = read_domain_table(spark, root, "audit_logs")
-    _, appended = append_audit(stored_audit, audit)
-    appended = cut_lineage(appended)
-    write_domain_table(appended, root, "audit_logs", mode="append")
-    return {"rows_written": new_rows.count(), "audit_appended": appended.count()}
+    _, appended = append_audit(stored_audit, result.audit if audit_rows is None else audit_rows)
+    appended.write.parquet(f"{folder}/audit")
+    spark.createDataFrame([(run, name, insert)], "run string, name string, inserts boolean").write.parquet(f"{folder}/ready")
+    _finish(spark, root, folder)
+    return {"rows_written": spark.read.parquet(f"{folder}/rows").count(),
+            "audit_appended": spark.read.parquet(f"{folder}/audit").count()}
+
+
+def _finish(spark: SparkSession, root: str, folder: str) -> None:
+    """Apply one staged run; parts that are stored already are left alone."""
+    ready = spark.read.parquet(f"{folder}/ready").first()
+    name, rows = ready["name"], spark.read.parquet(f"{folder}/rows")
+    if not ready["inserts"]:
+        write_domain_table(rows, root, name, mode="partitions" if PARTITION_COLUMNS.get(name) else "overwrite")
+    else:
+        _append_new(spark, root, name, rows)
+    _append_new(spark, root, "audit_logs", spark.read.parquet(f"{folder}/audit"))
+    spark.createDataFrame([(ready["run"],)], "run string").write.mode("overwrite").parquet(f"{folder}/done")
+
+
+def _append_new(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
+    """Append the rows whose primary key is not stored (all or none of a run's)."""
+    pk = PRIMARY_KEYS[name]
+    stored = read_domain_table(spark, root, name).select(pk)
+    write_domain_table(rows.join(stored, pk, "left_anti"), root, name, mode="append")
+
+
+def finish_pending(spark: SparkSession, root: str) -> int:
+    """Finish runs that were staged but not done; returns how many."""
+    def marked(what: str) -> dict:
+        try:
+            files = spark.read.option("recursiveFileLookup", "true").parquet(f"{root.rstrip('/')}/pending_runs/*/{what}")
+            return {r["run"]: r for r in files.collect()}  # one row a run
+        except AnalysisException:
+            return {}
+
+    done = marked("done")
+    todo = [r for r in marked("ready") if r not in done]
+    for run in todo:
+        _finish(spark, root, f"{root.rstrip('/')}/pending_runs/{run}")
+    return len(todo)
 
 
 def postgres_options(url: str, table: str, user: str | None = None, password: str | None = None,

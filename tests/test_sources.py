@@ -4,6 +4,8 @@ period / day filters prune partitions at the scan."""
 import datetime as dt
 import tempfile
 
+import pytest
+
 from stipendlens.operators import reports as R
 from stipendlens.sources.seed import SEED_TODAY
 from stipendlens.sources.tables import read_domain, write_domain
@@ -58,6 +60,71 @@ def test_commit_payment_commands(spark, seed):
     assert log[-2:] == [(4, "Confirmed payment"), (5, "Marked payment as SENT")]
 
 
+def _payments_and_commands(spark, seed):
+    root = tempfile.mkdtemp(prefix="domain-")
+    write_domain(seed, root)
+    cmds = spark.createDataFrame([(1, 4, "confirm", 2, dt.datetime(2026, 4, 16))],
+                                 "cmd_id long, payment_id long, kind string, admin_id long, ts timestamp_ntz")
+    return root, cmds
+
+
+def test_a_crash_between_the_writes_is_finished_once(spark, seed, monkeypatch):
+    from stipendlens.operators import workflows as W
+    from stipendlens.sources import tables as S
+
+    root, cmds = _payments_and_commands(spark, seed)
+    before = read_domain(spark, root)["audit_logs"].count()
+    real = S._append_new
+
+    def crash(*a):
+        raise OSError("executor storage gone")
+
+    monkeypatch.setattr(S, "_append_new", crash)
+    with pytest.raises(OSError):
+        S.commit_result(spark, root, "cash_payments", W.apply_payment_commands(read_domain(spark, root)["cash_payments"], cmds))
+    monkeypatch.setattr(S, "_append_new", real)
+    assert S.finish_pending(spark, root) == 1 and S.finish_pending(spark, root) == 0
+    after = read_domain(spark, root)
+    assert rows(after["cash_payments"].filter("payment_id = 4"), "status") == [("CONFIRMED",)]
+    assert after["audit_logs"].count() == before + 1
+    # the command again: rejected, nothing more is audited
+    out = S.commit_result(spark, root, "cash_payments", W.apply_payment_commands(after["cash_payments"], cmds))
+    assert out["audit_appended"] == 0 and read_domain(spark, root)["audit_logs"].count() == before + 1
+
+
+def test_inserts_are_appended(spark, seed):
+    from stipendlens.operators import workflows as W
+    from stipendlens.sources.tables import commit_result
+
+    root, _ = _payments_and_commands(spark, seed)
+    t = read_domain(spark, root)
+    n, files = t["cash_payments"].count(), set(t["cash_payments"].inputFiles())
+    res = W.create_monthly_payments(t["cash_payments"], t["students"], dt.datetime(2026, 7, 1), 1)
+    out = commit_result(spark, root, "cash_payments", res)
+    after = read_domain(spark, root)["cash_payments"]
+    assert out["rows_written"] > 0 and after.count() == n + out["rows_written"]
+    assert files <= set(after.inputFiles()), "stored files are left alone"
+
+
+def test_reload_replaces_old_partitions_and_updates_do_not(spark, seed):
+    from stipendlens.sources.tables import write_domain_table
+
+    root, _ = _payments_and_commands(spark, seed)
+    two = seed["cash_payments"].filter("payment_id <= 2")
+    write_domain({"cash_payments": two}, root)
+    assert read_domain(spark, root)["cash_payments"].count() == 2
+    write_domain_table(seed["cash_payments"].filter("payment_id = 4"), root, "cash_payments", mode="partitions")
+    assert {r["payment_id"] for r in read_domain(spark, root)["cash_payments"].collect()} >= {4}
+
+
+def test_the_audit_log_is_append_only(spark, seed):
+    from stipendlens.sources.tables import write_domain_table
+
+    root, _ = _payments_and_commands(spark, seed)
+    with pytest.raises(ValueError):
+        write_domain_table(seed["audit_logs"], root, "audit_logs")
+
+
 def test_postgres_options():
     import pytest
 
