@@ -12,8 +12,9 @@ per failing (row, rule): ``key..., rule_id, reason, message``.
   joined back, plus a semi join against the distinct keys already stored.
   NULL in a key column never collides (SQL semantics). Within a batch the
   lowest sequence number wins, like row-by-row inserts.
-* FOREIGN KEY is an anti join against the distinct referenced keys; NULL
-  references pass.
+* FOREIGN KEY is an anti join against the referenced primary keys; NULL
+  references pass. No aggregate stands between its shuffle and the join, so
+  AQE can split a hot referencing key.
 
 ``split_valid`` partitions a batch into valid rows and rejected rows with
 the first failing reason in PostgreSQL's order (input type / enum, NOT
@@ -25,18 +26,18 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stipendlens.functions.scalars import ntz_literal
-from stipendlens.plans.joins import distinct_keys
+from stipendlens.plans.joins import present_keys
 from stipendlens.plans.lineage import cut_lineage
 from stipendlens.plans.ranking import dense_ids
 from stipendlens.schemas import (ACTOR_TYPES, ADMIN_ROLES, AUDIT_ACTIONS, GENDERS, MAX_LENGTHS, MEAL_TYPES,
-                                 PAYMENT_STATUSES, STUDENT_TYPES, TABLES)
+                                 PAYMENT_STATUSES, PRIMARY_KEYS, STUDENT_TYPES, TABLES)
 
 # --- fixed values: failure order and API messages ---------------------------
 REASON_ORDER = ("REQUIRED", "PATTERN", "DOMAIN", "LENGTH", "NOT_NULL", "CHECK", "UNIQUE", "FK")
@@ -122,18 +123,33 @@ def castable(col: str, sql_type: str) -> Rule:
     return Rule(f"type:{col}", "DOMAIN", bad, msg, (col,))
 
 
+FORM_NUMBER = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)?\s*$"
+
+
+def _form_bigint(name: str) -> Column:
+    """bigint of form text, NULL where it is no number or out of range."""
+    number = F.when(F.col(name).cast("string").rlike(FORM_NUMBER), F.trim(F.col(name).cast("string"))).try_cast("double")
+    return F.when(F.abs(number) < 9.2e18, number).cast("long")
+
+
+def form_number(text: str, name: str) -> Rule:
+    """Present form text that is not a number in range (blank counts as 0)."""
+    c = F.col(text)
+    bad = c.isNotNull() & (F.trim(c) != "") & _form_bigint(text).isNull()
+    return Rule(f"type:{name}", "DOMAIN", bad, F.concat(F.lit('invalid input syntax for type integer: "'), c, F.lit('"')), (text,))
+
+
 def coerce_form_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text form fields to numbers the way the registration page did it
     (``Number(text)``): blank text becomes 0, text that is not a number
-    becomes NULL (NaN travels as JSON null), numbers keep their value.
+    (or is out of bigint range) becomes NULL, numbers keep their value.
     Results are bigint; fractional input is cut toward zero."""
     out = df
     for name in cols:
         t = F.trim(F.col(name).cast("string"))
-        num = F.expr(f"try_cast(trim(cast(`{name}` AS string)) AS double)")
         out = out.withColumn(name, F.when(F.col(name).isNull(), F.lit(None))
                              .when(t == "", F.lit(0))
-                             .otherwise(num).cast("long"))
+                             .otherwise(_form_bigint(name)).cast("long"))
     return out
 
 
@@ -195,7 +211,7 @@ def _unique_stored(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame | No
     if r.existing is None:
         return None
     present = _present(df, r)
-    return _tag(present.join(distinct_keys(r.existing, list(r.cols)), list(r.cols), "left_semi"), r, key)
+    return _tag(present.join(present_keys(r.existing, r.cols), list(r.cols), "left_semi"), r, key)
 
 
 def _unique_in_batch(df: DataFrame, failing: DataFrame | None, r: Rule, key: Sequence[str]) -> DataFrame:
@@ -203,28 +219,38 @@ def _unique_in_batch(df: DataFrame, failing: DataFrame | None, r: Rule, key: Seq
     other rule is stored, every later row with that key collides. Rows that
     fail some other rule are never stored, so they cannot win a key.
 
-    One aggregate per key gives (rows, first clean order); only keys that
-    occur more than once are kept, so the join back is against the
-    duplicated keys alone - usually small enough for AQE to broadcast
-    instead of shuffling the batch."""
+    Rows are counted per (key columns, order, row key), combined map-side,
+    so rows that nothing tells apart (a primary key given twice) are one
+    counted row: the winner's group loses all but one, every later group all
+    of its rows. NULL orders come first. Only keys that occur more than once
+    are joined back."""
     cols = list(r.cols)
     present = _present(df, r).withColumn("__ord", _order_expr(r, key))
     if failing is not None:
-        present = present.join(failing.withColumn("__bad", F.lit(True)), key, "left")
+        bad = failing.select(*[F.col(k).alias(f"__bad_{k}") for k in key], F.lit(True).alias("__bad"))
+        same = [F.col(k).eqNullSafe(F.col(f"__bad_{k}")) for k in key]
+        present = present.join(bad, same, "left").drop(*[f"__bad_{k}" for k in key])
         clean = F.col("__bad").isNull()
     else:
         clean = F.lit(True)
-    dup = (present.groupBy(*cols)
-           .agg(F.count(F.lit(1)).alias("__n"), F.min(F.when(clean, F.col("__ord"))).alias("__first"))
-           .filter((F.col("__n") > 1) & F.col("__first").isNotNull())
-           .drop("__n"))
-    later = present.join(dup, cols, "inner").filter(F.col("__ord") > F.col("__first"))
-    return _tag(later, r, key)
+    rest = [k for k in key if k not in cols]
+    place = F.struct(F.col("__ord").alias("o"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(rest)])
+    present = present.withColumn("__place", place).withColumn("__clean", clean)
+    groups = present.groupBy(*cols, *rest, "__place", "__clean").agg(F.count(F.lit(1)).alias("__n"))
+    dup = (groups.groupBy(*cols)
+           .agg(F.sum("__n").alias("__rows"), F.min(F.when(F.col("__clean"), F.col("__place"))).alias("__first"))
+           .filter((F.col("__rows") > 1) & F.col("__first").isNotNull())
+           .drop("__rows"))
+    later = groups.join(dup, cols, "inner").filter(F.col("__place") >= F.col("__first"))
+    losers = F.col("__n") - F.when(F.col("__place") == F.col("__first"), 1).otherwise(0)
+    later = later.withColumn("__times", losers).filter(F.col("__times") > 0)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
+    return _tag(later.withColumn("__copy", each), r, key)
 
 
 def _foreign_key(df: DataFrame, r: Rule, key: Sequence[str]) -> DataFrame:
     c, rc = r.cols[0], r.ref_cols[0]
-    refs = distinct_keys(r.ref, [rc]).withColumnRenamed(rc, c)
+    refs = present_keys(r.ref, [rc]).withColumnRenamed(rc, c)
     missing = df.filter(F.col(c).isNotNull()).join(refs, c, "left_anti")
     return _tag(missing, r, key)
 
@@ -284,7 +310,10 @@ def _reason_rank(col: Column) -> Column:
 
 def split_valid(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str,
                 materialize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(valid, rejected)``: every input row lands in exactly one of them.
+    """``(valid, rejected)``: every input row lands in exactly one of them,
+    also rows whose ``key`` is NULL or repeated: the batch is numbered and
+    checkpointed, and verdicts are kept by that number; ``key`` only orders
+    rows where a rule names no order.
     ``rejected`` adds ``first_reason``, ``first_rule``, ``message`` and
     ``rule_ids`` (all failing rules, at most one per rule).
 
@@ -293,7 +322,9 @@ def split_valid(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str,
     rows, the rejected rows, id numbering, audit rows - do not re-run the
     joins and aggregates of the rules."""
     key = [key] if isinstance(key, str) else list(key)
-    v = violations(df, rules, key)
+    rules = [replace(r, order_col=r.order_col or key[0]) if r.reason == "UNIQUE" else r for r in rules]
+    df, key = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id())), ["__row"]
+    v = violations(df, rules, key, materialize)
     per_row = v.groupBy(*key).agg(
         F.min(F.struct(_reason_rank(F.col("reason")).alias("rk"), F.col("rule_id"), F.col("reason"),
                        F.col("message"))).alias("__first"),
@@ -305,7 +336,7 @@ def split_valid(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | str,
         per_row = cut_lineage(per_row)
     valid = df.join(per_row.select(*key), key, "left_anti")
     rejected = df.join(per_row, key, "inner")
-    return valid, rejected
+    return valid.drop("__row"), rejected.drop("__row")
 
 
 # ------------------------------------------------------------- C7 / C8 helpers
@@ -347,6 +378,12 @@ def _not_nulls(table: str, present: Sequence[str]) -> list[Rule]:
     return not_null(*[f.name for f in TABLES[table].fields if not f.nullable and f.name in present])
 
 
+def _pkey(table: str, present: Sequence[str], existing: DataFrame | None, order_col: str | None = None) -> list[Rule]:
+    """PRIMARY KEY uniqueness, where the rows carry the key."""
+    pk = PRIMARY_KEYS[table]
+    return [unique(pk, name=f"{table}_pkey", existing=existing, order_col=order_col)] if pk in present else []
+
+
 def student_rules(df: DataFrame, existing: DataFrame | None, departments: DataFrame, dormitories: DataFrame,
                   order_col: str | None = None, ingest: bool = False) -> list[Rule]:
     cols = df.columns
@@ -359,8 +396,7 @@ def student_rules(df: DataFrame, existing: DataFrame | None, departments: DataFr
     rules += _lengths("students", cols) + _not_nulls("students", cols)
     rules.append(check("year_of_study", F.col("year_of_study").between(1, 5), ["year_of_study"]))
     rules.append(unique("email", name="students_email_key", existing=existing, order_col=order_col))
-    if "student_id" in cols:
-        rules.append(unique("student_id", name="students_pkey", existing=existing, order_col=order_col))
+    rules += _pkey("students", cols, existing, order_col)
     rules += [foreign_key("department_id", departments, "department_id"),
               foreign_key("dormitory_id", dormitories, "dormitory_id")]
     return rules
@@ -370,6 +406,7 @@ def payment_rules(df: DataFrame, existing: DataFrame | None, students: DataFrame
                   order_col: str | None = None) -> list[Rule]:
     cols = df.columns
     rules = [in_domain("status", PAYMENT_STATUSES, "payment_status_enum")] + _not_nulls("cash_payments", cols)
+    rules += _pkey("cash_payments", cols, existing, order_col)
     rules += [check("amount_positive", F.col("amount") > 0, ["amount"]),
               check("payment_month", F.col("payment_month").between(1, 12), ["payment_month"]),
               unique("student_id", "payment_month", "payment_year", name="one_payment_per_month",
@@ -384,6 +421,7 @@ def attendance_rules(df: DataFrame, existing: DataFrame | None, students: DataFr
                      order_col: str | None = None) -> list[Rule]:
     cols = df.columns
     return ([in_domain("meal_type", MEAL_TYPES, "meal_type_enum")] + _not_nulls("meal_attendance", cols)
+            + _pkey("meal_attendance", cols, existing, order_col)
             + [unique("student_id", "meal_date", "meal_type", name="one_tick_per_meal", existing=existing,
                       order_col=order_col),
                foreign_key("student_id", students, "student_id"),
@@ -392,30 +430,30 @@ def attendance_rules(df: DataFrame, existing: DataFrame | None, students: DataFr
 
 def department_rules(df: DataFrame, existing: DataFrame | None = None) -> list[Rule]:
     cols = df.columns
-    return (_lengths("departments", cols) + _not_nulls("departments", cols)
+    return (_lengths("departments", cols) + _not_nulls("departments", cols) + _pkey("departments", cols, existing)
             + [unique("department_name", name="departments_department_name_key", existing=existing)])
 
 
-def dormitory_rules(df: DataFrame) -> list[Rule]:
+def dormitory_rules(df: DataFrame, existing: DataFrame | None = None) -> list[Rule]:
     cols = df.columns
     return ([in_domain("gender_type", GENDERS, "gender_enum")] + _lengths("dormitories", cols)
-            + _not_nulls("dormitories", cols)
+            + _not_nulls("dormitories", cols) + _pkey("dormitories", cols, existing)
             + [check("total_rooms_positive", F.col("total_rooms") > 0, ["total_rooms"])])
 
 
 def admin_rules(df: DataFrame, existing: DataFrame | None = None) -> list[Rule]:
     cols = df.columns
     return ([in_domain("role", ADMIN_ROLES, "admin_role_enum")] + _lengths("admins", cols)
-            + _not_nulls("admins", cols) + [unique("email", name="admins_email_key", existing=existing)])
+            + _not_nulls("admins", cols) + _pkey("admins", cols, existing) + [unique("email", name="admins_email_key", existing=existing)])
 
 
-def menu_rules(df: DataFrame) -> list[Rule]:
+def menu_rules(df: DataFrame, existing: DataFrame | None = None) -> list[Rule]:
     cols = df.columns
     return ([in_domain("meal_type", MEAL_TYPES, "meal_type_enum")] + _lengths("menus", cols)
-            + _not_nulls("menus", cols) + [check("price_non_negative", F.col("price") >= 0, ["price"])])
+            + _not_nulls("menus", cols) + _pkey("menus", cols, existing) + [check("price_non_negative", F.col("price") >= 0, ["price"])])
 
 
-def audit_rules(df: DataFrame) -> list[Rule]:
+def audit_rules(df: DataFrame, existing: DataFrame | None = None) -> list[Rule]:
     cols = df.columns
     return ([check_in("actor_type", ACTOR_TYPES), check_in("action", AUDIT_ACTIONS)]
-            + _lengths("audit_logs", cols) + _not_nulls("audit_logs", cols))
+            + _lengths("audit_logs", cols) + _not_nulls("audit_logs", cols) + _pkey("audit_logs", cols, existing))

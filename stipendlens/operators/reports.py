@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stipendlens.functions.enums import meal_ordinal, status_ordinal, type_ordinal
 from stipendlens.functions.scalars import full_name, period_of
-from stipendlens.plans.joins import bounded_broadcast, distinct_keys
+from stipendlens.plans.joins import bounded_broadcast, distinct_keys, present_keys
 from stipendlens.plans.ranking import rank_within
 
 STUDENT_COLUMNS = ["student_id", "first_name", "last_name", "email", "gender", "year_of_study",
@@ -109,7 +109,7 @@ def unmatched_payments(students: DataFrame, payments: DataFrame) -> DataFrame:
     lonely_students = s.join(distinct_keys(p, ["student_id"]), "student_id", "left_anti").select(
         full_name().alias("student_name"), "student_type",
         F.lit(None).cast("long").alias("payment_id"), F.lit(None).cast("string").alias("status"))
-    orphans = p.join(distinct_keys(s, ["student_id"]), "student_id", "left_anti").select(
+    orphans = p.join(present_keys(s, ["student_id"]), "student_id", "left_anti").select(
         F.lit(None).cast("string").alias("student_name"), F.lit(None).cast("string").alias("student_type"),
         "payment_id", "status")
     return lonely_students.unionByName(orphans).orderBy(
@@ -322,7 +322,7 @@ def student_profiles(students: DataFrame, departments: DataFrame, dormitories: D
 def student_payments(students: DataFrame, payments: DataFrame) -> DataFrame:
     """Payment history of NON_CAFE students: newest period first per student.
     A semi join: payments keep their own columns and are never duplicated."""
-    non_cafe = distinct_keys(students.filter(F.col("student_type") == "NON_CAFE"), ["student_id"])
+    non_cafe = present_keys(students.filter(F.col("student_type") == "NON_CAFE"), ["student_id"])
     return (payments.select(*PAYMENT_COLUMNS).join(non_cafe, "student_id", "left_semi")
             .orderBy("student_id", F.col("payment_year").desc_nulls_first(),
                      F.col("payment_month").desc_nulls_first(), "payment_id"))
@@ -334,7 +334,7 @@ def student_recent_meals(students: DataFrame, attendance: DataFrame, menus: Data
     order, then tick id). ``row_number() <= n`` is planned with a partial
     WindowGroupLimit before the shuffle, so a student with a third of all
     ticks sends at most ``n`` rows per map task."""
-    cafe = distinct_keys(students.filter(F.col("student_type") == "CAFE"), ["student_id"])
+    cafe = present_keys(students.filter(F.col("student_type") == "CAFE"), ["student_id"])
     a = attendance.select("attendance_id", "student_id", "menu_id", "meal_date", "meal_type", "recorded_at")
     a = a.join(cafe, "student_id", "left_semi")
     w = Window.partitionBy("student_id").orderBy(F.col("meal_date").desc_nulls_first(),
@@ -353,7 +353,7 @@ def dashboard_kpis(students: DataFrame, payments: DataFrame) -> DataFrame:
     the dashboard), pending payments that have a student, sent payments.
     Each count is one aggregate; the payment counts are scalar subqueries
     attached to the student aggregate, so there is no join of frames."""
-    s_keys = distinct_keys(students, ["student_id"])
+    s_keys = present_keys(students, ["student_id"])
     pend = payments.filter(F.col("status") == "PENDING").groupBy("student_id").agg(
         F.count(F.lit(1)).alias("c"))
     pending_pay = pend.join(s_keys, "student_id", "left_semi").agg(

@@ -26,10 +26,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stipendlens.functions.scalars import ntz_literal, period_of
 from stipendlens.operators import quality as Q
-from stipendlens.plans.joins import distinct_keys
+from stipendlens.plans.joins import distinct_keys, present_keys
 from stipendlens.plans.ranking import dense_ids
 from stipendlens.schemas import AUDIT_LOGS, CASH_PAYMENTS, MEAL_ATTENDANCE, PARTITION_COLUMNS, PRIMARY_KEYS, STUDENTS
 
@@ -46,6 +47,7 @@ INVALID_CREDENTIALS = "Invalid credentials"
 STUDENTS_TABLE = "Students"
 PAYMENTS_TABLE = "Cash_Payments"
 
+FORM_NUMBERS = ["year_of_study", "year_enrolled", "department_id", "dormitory_id"]
 REGISTRATION_FIELDS = ["first_name", "last_name", "email", "gender", "year_of_study", "year_enrolled",
                        "student_type", "department_id", "dormitory_id"]
 
@@ -55,6 +57,7 @@ class Result(NamedTuple):
     changed: DataFrame
     rejected: DataFrame
     audit: DataFrame
+    inserts: bool = False  # ``changed`` holds new rows only: a commit appends them
 
 
 def _ts(value: dt.datetime) -> Column:
@@ -108,8 +111,13 @@ def register_students(students: DataFrame, requests: DataFrame, departments: Dat
         if c not in req.columns:
             req = req.withColumn(c, F.lit(None).cast("string"))
     req = req.select("seq", "password", *REGISTRATION_FIELDS)
+    numbers = [c for c in FORM_NUMBERS if isinstance(req.schema[c].dataType, T.StringType)]
+    for c in numbers:  # form text: a malformed number is a rejected row, not a failed batch
+        req = req.withColumn(f"{c}_text", F.col(c))
+    req = Q.coerce_form_numbers(req, numbers)
     req = req.withColumn("is_approved", F.lit(False)).withColumn("created_at", _ts(as_of))
-    rules = Q.student_rules(req, students, departments, dormitories, order_col="seq", ingest=True)
+    rules = [Q.form_number(f"{c}_text", c) for c in numbers]
+    rules += Q.student_rules(req, students, departments, dormitories, order_col="seq", ingest=True)
     valid, rejected = Q.split_valid(req, rules, "seq", materialize=True)
     new = Q.assign_ids(valid, "student_id", students, "seq")
     inserted = _cast_to(new, STUDENTS)
@@ -117,7 +125,7 @@ def register_students(students: DataFrame, requests: DataFrame, departments: Dat
     audit = audit_rows(new, F.col("student_id"), "STUDENT", "INSERT", STUDENTS_TABLE, F.col("student_id"),
                        F.concat(F.lit(REGISTERED_TEXT), F.col("first_name"), F.lit(" "), F.col("last_name")),
                        _ts(as_of), F.col("seq"))
-    return Result(table, inserted, rejected.drop("password"), audit)
+    return Result(table, inserted, rejected.drop("password", *[f"{c}_text" for c in numbers]), audit, True)
 
 
 # ------------------------------------------------------------------ M2
@@ -127,7 +135,7 @@ def approve_students(students: DataFrame, commands: DataFrame) -> Result:
     row per command. Unknown students are rejected."""
     names = students.select("student_id", "first_name", "last_name")
     known = commands.join(names, "student_id", "inner")
-    rejected = (commands.join(distinct_keys(students, ["student_id"]), "student_id", "left_anti")
+    rejected = (commands.join(present_keys(students, ["student_id"]), "student_id", "left_anti")
                 .withColumn("message", F.lit(STUDENT_NOT_FOUND)))
     hit = distinct_keys(known, ["student_id"]).withColumn("__hit", F.lit(True))
     table = (students.join(hit, "student_id", "left")
@@ -160,7 +168,7 @@ def create_payments(payments: DataFrame, requests: DataFrame, students: DataFram
                     F.col("payment_year").cast("string"))
     audit = audit_rows(new, F.col("admin_id"), "ADMIN", "INSERT", PAYMENTS_TABLE, F.col("payment_id"), text,
                        _ts(as_of), F.col("seq"))
-    return Result(table, inserted, rejected, audit)
+    return Result(table, inserted, rejected, audit, True)
 
 
 # ------------------------------------------------------------------ M4
@@ -189,7 +197,7 @@ def create_monthly_payments(payments: DataFrame, students: DataFrame, as_of: dt.
     one = spark.createDataFrame([(int(admin_id),)], "admin_id long")
     audit = audit_rows(one, F.col("admin_id"), "ADMIN", "INSERT", PAYMENTS_TABLE, F.lit(None), F.lit(BULK_TEXT),
                        _ts(as_of), F.lit(0))
-    return Result(table, inserted, skipped, audit)
+    return Result(table, inserted, skipped, audit, True)
 
 
 # -------------------------------------------------------------- M5 / M6
@@ -267,7 +275,7 @@ def force_payment_status(payments: DataFrame, keys: DataFrame, status: str, as_o
         j = j.withColumn("sent_at", F.when(h, _ts(as_of)).otherwise(F.col("sent_at")))
     table = _cast_to(j, CASH_PAYMENTS)
     changed = _cast_to(j.filter(h), CASH_PAYMENTS)
-    rejected = keys.join(distinct_keys(payments, k), k, "left_anti")
+    rejected = keys.join(present_keys(payments, k), k, "left_anti")
     return Result(table, changed, rejected, _no_audit(payments))
 
 
@@ -285,7 +293,7 @@ def record_ticks(attendance: DataFrame, ticks: DataFrame, students: DataFrame, m
     new = Q.assign_ids(valid, "attendance_id", attendance, "seq")
     inserted = _cast_to(new, MEAL_ATTENDANCE)
     table = _cast_to(attendance, MEAL_ATTENDANCE).unionByName(inserted)
-    return Result(table, inserted, rejected, _no_audit(attendance))
+    return Result(table, inserted, rejected, _no_audit(attendance), True)
 
 
 # -------------------------------------------------------------- M9 / M10
@@ -318,7 +326,7 @@ def stamp_last_login(admins: DataFrame, logins: DataFrame) -> Result:
     table = j.withColumn("last_login", F.when(ok, F.greatest(F.col("last_login"), F.col("__ts")))
                          .otherwise(F.col("last_login"))).withColumn("__ok", ok)
     changed = table.filter("__ok").select(*admins.columns)
-    active = distinct_keys(admins.filter(F.col("is_active") == True), ["admin_id"])  # noqa: E712
+    active = present_keys(admins.filter(F.col("is_active") == True), ["admin_id"])  # noqa: E712
     rejected = logins.join(active, "admin_id", "left_anti").withColumn("message", F.lit(INVALID_CREDENTIALS))
     return Result(table.select(*admins.columns), changed, rejected, _no_audit(admins))
 
@@ -336,15 +344,17 @@ def delete_rows(tables: dict[str, DataFrame], table_name: str, ids: DataFrame) -
 
     Returns the dict of new tables and the blocked ids."""
     pk = PRIMARY_KEYS[table_name]
-    key = distinct_keys(ids.select(F.col(ids.columns[0]).alias(pk)), [pk])
+    ids = ids.select(F.col(ids.columns[0]).alias(pk))
+    key, given = distinct_keys(ids, [pk]), present_keys(ids, [pk])  # semi / anti joins take repeated ids
     out = dict(tables)
-    blocked = key.limit(0)
+    blocked = key.sparkSession.createDataFrame([], key.schema)
     if table_name == "audit_logs":
         return out, key
     if table_name == "menus":
         blocked = key.join(distinct_keys(tables["meal_attendance"], ["menu_id"]), "menu_id", "left_semi")
         key = key.join(blocked, "menu_id", "left_anti")
-    out[table_name] = tables[table_name].join(key, pk, "left_anti")
+        given = key
+    out[table_name] = tables[table_name].join(given, pk, "left_anti")
 
     def set_null(name: str, col: str) -> None:
         if name not in tables:
@@ -359,7 +369,7 @@ def delete_rows(tables: dict[str, DataFrame], table_name: str, ids: DataFrame) -
     if table_name == "students":
         for child in ("meal_attendance", "cash_payments"):
             if child in tables:
-                out[child] = tables[child].join(key, "student_id", "left_anti")
+                out[child] = tables[child].join(given, "student_id", "left_anti")
     elif table_name == "departments":
         set_null("students", "department_id")
     elif table_name == "dormitories":

@@ -94,6 +94,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if _fits(df, max_rows) else df
 
 
+def present_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Key tuples, NULL keys removed, for the right side of a semi / anti
+    join whose keys are unique already (a primary key). Without an aggregate
+    between its shuffle and the join, AQE can split a hot key of the left
+    side."""
+    out = df.select(*cols)
+    for c in cols:
+        out = out.filter(F.col(c).isNotNull())
+    return out
+
+
 def distinct_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct key tuples, NULL keys removed: the cheap side of a semi / anti
     join. The hash aggregate combines map-side, so a key that holds a third

@@ -104,3 +104,31 @@ def test_form_number_coercion_and_castable(spark):
         (1, 3), (2, 0), (3, None), (4, None), (5, 2)]
     v = rows(Q.violations(df, [Q.castable("year_of_study", "int")], "seq"), "seq", "message")
     assert sorted(v) == [(2, 'invalid input syntax for type int: ""'), (3, 'invalid input syntax for type int: "abc"')]
+
+
+def _pk_rules(df):
+    return [Q.unique("id", name="t_pkey"), *Q.not_null("id")]
+
+
+def test_primary_key_duplicates_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (3, "d"), (3, "d"), (None, "e"), (None, "f")], "id long, x string")
+    got = sorted((r["id"] or 0, r["rule_id"]) for r in Q.violations(df, _pk_rules(df), "id").collect())
+    assert got == [(0, "not_null:id")] * 2 + [(1, "unique:t_pkey")] + [(3, "unique:t_pkey")] * 2
+    valid, rejected = Q.split_valid(df, _pk_rules(df), "id")
+    assert sorted(r["id"] for r in valid.collect()) == [1, 2, 3]
+    assert valid.count() + rejected.count() == 8
+
+
+def test_null_order_values_come_first_and_still_collide(spark):
+    df = spark.createDataFrame([(1, "k", None), (2, "k", None), (3, "k", 5), (4, None, None)], "id long, k string, o long")
+    got = [r["id"] for r in Q.violations(df, [Q.unique("k", name="k_key", order_col="o")], "id").collect()]
+    assert sorted(got) == [2, 3]
+
+
+def test_form_numbers_never_fail_the_batch(spark):
+    texts = ["3", " 4 ", "", None, "abc", "NaN", "1e30", "1d", "2.9", "-1e2", "0x10", "Infinity"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, n string")
+    got = {r["i"]: r["n"] for r in Q.coerce_form_numbers(df, ["n"]).collect()}
+    assert [got[i] for i in range(len(texts))] == [3, 4, 0, None, None, None, None, None, 2, -100, None, None]
+    bad = {r["i"] for r in Q.violations(df, [Q.form_number("n", "n")], "i").collect()}
+    assert bad == {4, 5, 6, 7, 10, 11}
