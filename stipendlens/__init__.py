@@ -11,7 +11,7 @@ Modules:
 * ``stipendlens.operators.quality``   rule builders, ``violations``, ``split_valid``
 * ``stipendlens.operators.workflows`` batch write workflows returning ``Result``
 * ``stipendlens.streaming``           tick ingest and live dashboard
-* ``stipendlens.sources``             fixed-schema reads, loader, seed rows, test-data mapping
+* ``stipendlens.sources``             fixed-schema reads, loader, test-data mapping
 * ``stipendlens.plans``               size-checked broadcast, skew-safe rank, dense ids, checkpoints
 * ``stipendlens.jobs``                spark-submit entry points
 """

@@ -3,11 +3,16 @@ storage. Every job reads the domain tables under ``--root``, writes only
 what changed (touched partitions, appended audit rows) via
 ``commit_result`` and prints a one-line JSON summary.
 
-    spark-submit -m stipendlens.jobs load --sf-dir /data/sf1 --root /lake/stipend
-    spark-submit -m stipendlens.jobs monthly-payments --root /lake/stipend --as-of 2026-05-01 --admin 1
-    spark-submit -m stipendlens.jobs payment-commands --root /lake/stipend --commands /in/cmds.parquet
-    spark-submit -m stipendlens.jobs ticks --root /lake/stipend --ticks /in/ticks.parquet --as-of 2026-05-01
-    spark-submit -m stipendlens.jobs report --root /lake/stipend --name department_summary --out /out/r6
+    zip -r stipendlens.zip stipendlens
+    S="spark-submit --py-files stipendlens.zip stipendlens/jobs.py"
+    $S load --sf-dir /data/sf1 --root /lake/stipend
+    $S register --root /lake/stipend --requests /in/signups.parquet --as-of 2026-05-01
+    $S approve --root /lake/stipend --commands /in/approvals.parquet
+    $S create-payments --root /lake/stipend --requests /in/payments.parquet --as-of 2026-05-01
+    $S monthly-payments --root /lake/stipend --as-of 2026-05-01 --admin 1
+    $S payment-commands --root /lake/stipend --commands /in/cmds.parquet
+    $S ticks --root /lake/stipend --ticks /in/ticks.parquet --as-of 2026-05-01
+    $S report --root /lake/stipend --name department_summary --out /out/r6
 """
 
 from __future__ import annotations
@@ -37,10 +42,25 @@ REPORTS = {
     "enrolment_summary": lambda t, a: R.enrolment_summary(t["students"]),
     "payment_history": lambda t, a: R.payment_history(t["cash_payments"], t["students"], t["departments"]),
     "dual_claims": lambda t, a: R.dual_claims(t["students"], t["meal_attendance"], t["cash_payments"]),
+    "list_departments": lambda t, a: R.list_departments(t["departments"]),
+    "list_dormitories": lambda t, a: R.list_dormitories(t["dormitories"]),
+    "available_menu": lambda t, a: R.available_menu(t["menus"]),
+    "pending_students": lambda t, a: R.pending_students(t["students"], t["departments"]),
+    "approved_non_cafe": lambda t, a: R.approved_non_cafe(t["students"]),
+    "pending_payments": lambda t, a: R.pending_payments(t["cash_payments"], t["students"]),
+    "sent_count": lambda t, a: R.sent_count(t["cash_payments"]),
+    "recent_audit": lambda t, a: R.recent_audit(t["audit_logs"], 50),
+    "student_profiles": lambda t, a: R.student_profiles(t["students"], t["departments"], t["dormitories"]),
+    "student_payments": lambda t, a: R.student_payments(t["students"], t["cash_payments"]),
+    "student_recent_meals": lambda t, a: R.student_recent_meals(t["students"], t["meal_attendance"], t["menus"], 30),
     "dashboard_kpis": lambda t, a: R.dashboard_kpis(t["students"], t["cash_payments"]),
 }
 
 
+#: Reports of one day, month or year.
+DATED = ("payment_status", "department_summary_for_year", "unpaid_students", "daily_attendance")
+
+
 def _date(s: str) -> dt.datetime:
     return dt.datetime.fromisoformat(s)
 
@@ -58,6 +78,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     p = sub.add_parser("payment-commands")
     p.add_argument("--root", required=True)
     p.add_argument("--commands", required=True)
+    p = sub.add_parser("register")
+    p.add_argument("--root", required=True)
+    p.add_argument("--requests", required=True)
+    p.add_argument("--as-of", required=True, type=_date)
+    p = sub.add_parser("approve")
+    p.add_argument("--root", required=True)
+    p.add_argument("--commands", required=True)
+    p = sub.add_parser("create-payments")
+    p.add_argument("--root", required=True)
+    p.add_argument("--requests", required=True)
+    p.add_argument("--as-of", required=True, type=_date)
     p = sub.add_parser("ticks")
     p.add_argument("--root", required=True)
     p.add_argument("--ticks", required=True)
@@ -69,6 +100,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     p.add_argument("--out", required=True)
     p.add_argument("--format", choices=["parquet", "json"], default="parquet")
     args = ap.parse_args(argv)
+    if args.job == "report" and args.name in DATED and args.as_of is None:
+        ap.error(f"report {args.name} needs --as-of")
     spark = spark or SparkSession.builder.appName(f"stipendlens-{args.job}").getOrCreate()
 
     if args.job == "load":
@@ -85,6 +118,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         t = read_domain(spark, args.root)
         res = W.apply_payment_commands(t["cash_payments"], spark.read.parquet(args.commands))
         out = {"job": args.job, **commit_result(spark, args.root, "cash_payments", res)}
+    elif args.job == "register":
+        t = read_domain(spark, args.root)
+        res = W.register_students(t["students"], spark.read.parquet(args.requests), t["departments"], t["dormitories"], args.as_of)
+        out = {"job": args.job, **commit_result(spark, args.root, "students", res)}
+    elif args.job == "approve":
+        t = read_domain(spark, args.root)
+        res = W.approve_students(t["students"], spark.read.parquet(args.commands))
+        out = {"job": args.job, **commit_result(spark, args.root, "students", res)}
+    elif args.job == "create-payments":
+        t = read_domain(spark, args.root)
+        res = W.create_payments(t["cash_payments"], spark.read.parquet(args.requests), t["students"], args.as_of)
+        out = {"job": args.job, **commit_result(spark, args.root, "cash_payments", res)}
     elif args.job == "ticks":
         t = read_domain(spark, args.root)
         res = W.record_ticks(t["meal_attendance"], spark.read.parquet(args.ticks), t["students"], t["menus"],

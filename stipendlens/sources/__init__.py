@@ -1,6 +1,6 @@
 """Sources and sinks: fixed-schema Parquet tables, the loader and commit
 path, a PostgreSQL JDBC reader, the mapping of the driver's TPC-H-like
-tables onto the domain, and the seed fixture."""
+tables onto the domain."""
 
 from stipendlens.sources.mapping import Domain, StoredDomain, load_domain, load_stored_domain
 from stipendlens.sources.tables import (commit_result, read_domain, read_domain_table, read_postgres_table, read_raw,

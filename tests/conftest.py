@@ -8,7 +8,7 @@ if ROOT not in sys.path:
     sys.path.insert(0, ROOT)
 
 from stipendlens.plans.session import build_session  # noqa: E402
-from stipendlens.sources.seed import seed_tables  # noqa: E402
+from tests.seed import seed_tables  # noqa: E402
 
 
 @pytest.fixture(scope="session")

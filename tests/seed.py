@@ -36,8 +36,8 @@ DORMITORY_ROWS = [
 ]
 
 ADMIN_ROWS = [
-    (1, "Kassahun Abdissa", "kassahun@aau.edu.et", "SUPER_ADMIN", None, True),
-    (2, "Cafe Manager", "cafe@aau.edu.et", "CAFE_MANAGER", None, True),
+    (1, "Kit Arden", "kit@example.org", "SUPER_ADMIN", None, True),
+    (2, "Cafe Manager", "cafe@example.org", "CAFE_MANAGER", None, True),
 ]
 
 MENU_ROWS = [
@@ -53,11 +53,11 @@ MENU_ROWS = [
 ]
 
 STUDENT_ROWS = [
-    (1, "Abel", "Tesfaye", "abel@stu.aau.et", "Male", 4, 2023, "CAFE", 1, 1, True, SEED_NOW),
-    (2, "Hana", "Mekonnen", "hana@stu.aau.et", "Female", 2, 2025, "NON_CAFE", 2, 3, True, SEED_NOW),
-    (3, "Dawit", "Alemu", "dawit@stu.aau.et", "Male", 3, 2024, "CAFE", 4, 2, True, SEED_NOW),
-    (4, "Saron", "Tadesse", "saron@stu.aau.et", "Female", 1, 2026, "NON_CAFE", 3, 4, True, SEED_NOW),
-    (5, "Abebe", "Kebede", "abebe@stu.aau.et", "Male", 2, 2025, "CAFE", 1, 1, False, SEED_NOW),
+    (1, "Arne", "Tessel", "arne@example.org", "Male", 4, 2023, "CAFE", 1, 1, True, SEED_NOW),
+    (2, "Hedda", "Mellow", "hedda@example.org", "Female", 2, 2025, "NON_CAFE", 2, 3, True, SEED_NOW),
+    (3, "Dorin", "Almar", "dorin@example.org", "Male", 3, 2024, "CAFE", 4, 2, True, SEED_NOW),
+    (4, "Soren", "Tamsin", "soren@example.org", "Female", 1, 2026, "NON_CAFE", 3, 4, True, SEED_NOW),
+    (5, "Arlo", "Kestrel", "arlo@example.org", "Male", 2, 2025, "CAFE", 1, 1, False, SEED_NOW),
 ]
 
 PAYMENT_ROWS = [
@@ -75,8 +75,8 @@ ATTENDANCE_ROWS = [
 ]
 
 AUDIT_ROWS = [
-    (1, 1, "ADMIN", "UPDATE", "Students", 1, None, "Approved student Abel Tesfaye", SEED_NOW),
-    (2, 1, "ADMIN", "INSERT", "Cash_Payments", 1, None, "Created monthly payment for Hana Mekonnen", SEED_NOW),
+    (1, 1, "ADMIN", "UPDATE", "Students", 1, None, "Approved student Arne Tessel", SEED_NOW),
+    (2, 1, "ADMIN", "INSERT", "Cash_Payments", 1, None, "Created monthly payment for Hedda Mellow", SEED_NOW),
     (3, 1, "ADMIN", "UPDATE", "Cash_Payments", 1, None, "Confirmed payment and marked as SENT", SEED_NOW),
 ]
 

@@ -13,16 +13,16 @@ REQ_SCHEMA = ("seq long, first_name string, last_name string, email string, pass
 
 def _requests(spark):
     return spark.createDataFrame([
-        (1, "Liya", "Haile", "liya@stu.aau.et", "Passw0rdX", "Female", 1, 2026, "CAFE", 1, 1),       # ok
-        (2, "Dup", "Email", "hana@stu.aau.et", "Passw0rdX", "Female", 1, 2026, "CAFE", 1, 1),       # stored email
-        (3, "Weak", "Pw", "weak@stu.aau.et", "password", "Male", 1, 2026, "CAFE", 1, 1),            # pattern
+        (1, "Liya", "Haile", "liya@example.org", "Passw0rdX", "Female", 1, 2026, "CAFE", 1, 1),       # ok
+        (2, "Dup", "Email", "hedda@example.org", "Passw0rdX", "Female", 1, 2026, "CAFE", 1, 1),       # stored email
+        (3, "Weak", "Pw", "weak@example.org", "password", "Male", 1, 2026, "CAFE", 1, 1),            # pattern
         (4, "No", "Mail", "", "Passw0rdX", "Male", 1, 2026, "CAFE", 1, 1),                          # required
-        (5, "Bad", "Year", "year@stu.aau.et", "Passw0rdX", "Male", 9, 2026, "CAFE", 1, 1),          # check
-        (6, "Bad", "Dept", "dept@stu.aau.et", "Passw0rdX", "Male", 1, 2026, "CAFE", 77, 1),         # fk
-        (7, "Twin", "One", "twin@stu.aau.et", "Passw0rdX", "Male", 1, 2026, "NON_CAFE", None, None),  # first wins
-        (8, "Twin", "Two", "twin@stu.aau.et", "Passw0rdX", "Male", 1, 2026, "NON_CAFE", None, None),  # dup in batch
-        (9, "Bad", "Type", "type@stu.aau.et", "Passw0rdX", "Robot", 1, 2026, "STAFF", 1, 1),         # enum x2
-        (10, None, "Nofirst", "nof@stu.aau.et", "Passw0rdX", "Male", None, 2026, "CAFE", 1, 1),      # not null
+        (5, "Bad", "Year", "year@example.org", "Passw0rdX", "Male", 9, 2026, "CAFE", 1, 1),          # check
+        (6, "Bad", "Dept", "dept@example.org", "Passw0rdX", "Male", 1, 2026, "CAFE", 77, 1),         # fk
+        (7, "Twin", "One", "twin@example.org", "Passw0rdX", "Male", 1, 2026, "NON_CAFE", None, None),  # first wins
+        (8, "Twin", "Two", "twin@example.org", "Passw0rdX", "Male", 1, 2026, "NON_CAFE", None, None),  # dup in batch
+        (9, "Bad", "Type", "type@example.org", "Passw0rdX", "Robot", 1, 2026, "STAFF", 1, 1),         # enum x2
+        (10, None, "Nofirst", "nof@example.org", "Passw0rdX", "Male", None, 2026, "CAFE", 1, 1),      # not null
     ], REQ_SCHEMA)
 
 

@@ -5,9 +5,12 @@ ships at most n rows per map task for the hot student."""
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from stipendlens.operators import quality as Q
 from stipendlens.operators import reports as R
+from stipendlens.operators import workflows as W
 from stipendlens.sources.mapping import Domain
 
 SF = "/root/testdata/sf0.01"
@@ -80,3 +83,36 @@ def test_hot_year_rank_is_not_one_window_partition(spark):
     specs = [l.split("], [")[1].strip() for l in windows]
     assert any("__rk_b" in sp for sp in specs)
     assert not any(re.fullmatch(r"payment_year#\d+L?", sp) for sp in specs)
+
+
+HOT_JOINS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.mark.parametrize("build", [
+    lambda s, p, a: R.unmatched_payments(s, p),
+    lambda s, p, a: R.student_payments(s, p),
+    lambda s, p, a: Q.violations(p, [Q.foreign_key("student_id", s, "student_id")], "payment_id"),
+    lambda s, p, a: W.delete_rows({"students": s, "cash_payments": p}, "students", s.filter("student_id % 5 = 0").select("student_id"))[0]["cash_payments"],
+], ids=["r04", "r20", "fk", "m12"])
+def test_semi_and_anti_joins_split_a_hot_student(spark, tmp_path, build):
+    d = Domain(spark, SF)
+    half = F.when(F.col("payment_id") % 2 == 0, F.lit(1)).otherwise(F.col("student_id"))
+    d.students.write.parquet(str(tmp_path / "s"))
+    d.cash_payments.withColumn("student_id", half).repartition(8).write.parquet(str(tmp_path / "p"))
+    s, p = spark.read.parquet(str(tmp_path / "s")), spark.read.parquet(str(tmp_path / "p"))
+    want = sorted(map(repr, build(s, p, None).collect()))
+    old = {k: spark.conf.get(k, None) for k in HOT_JOINS}
+    try:
+        for k, v in HOT_JOINS.items():
+            spark.conf.set(k, v)
+        df = build(s, p, None)
+        got, plan = sorted(map(repr, df.collect())), _plan(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want and "skew=true" in plan

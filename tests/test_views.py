@@ -22,7 +22,7 @@ def test_profile_card(spark, seed):
     prof = R.student_profiles(seed["students"], seed["departments"], seed["dormitories"])
     out = {r[0]: r[1:] for r in rows(V.profile_card(prof), "student_id", "student_ref", "full_name", "department",
                                      "dormitory", "approved")}
-    assert out[2] == ("#2", "Hana Mekonnen", "Electrical & Computer Engineering", "Dorm Block C (Block C)", "✅ Yes")
+    assert out[2] == ("#2", "Hedda Mellow", "Electrical & Computer Engineering", "Dorm Block C (Block C)", "✅ Yes")
     assert out[5][-1] == "⏳ Pending"
     no_dorm = V.profile_card(prof.withColumn("dorm_name", prof["dorm_name"].substr(1, 0)).filter("student_id = 1"))
     assert rows(no_dorm, "dormitory") == [("—",)]

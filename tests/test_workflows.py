@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stipendlens.operators import reports as R
 from stipendlens.operators import workflows as W
-from stipendlens.sources.seed import SEED_NOW
+from tests.seed import SEED_NOW
 from tests.conftest import rows
 
 APRIL = dt.datetime(2026, 4, 15, 9, 0)
@@ -30,14 +30,14 @@ def test_m4_bulk_monthly(seed):
 
 def test_m1_register(spark, seed):
     req = spark.createDataFrame([
-        (1, "Liya", "Haile", "liya@stu.aau.et", "Passw0rdX", "Female", 1, 2026, "CAFE", 1, 1),
-        (2, "Copy", "Cat", "abel@stu.aau.et", "Passw0rdX", "Male", 1, 2026, "CAFE", 1, 1),
-        (3, "Sami", "Tolosa", "sami@stu.aau.et", "Passw0rdX", "Male", 2, 2025, "NON_CAFE", 2, None),
+        (1, "Liya", "Haile", "liya@example.org", "Passw0rdX", "Female", 1, 2026, "CAFE", 1, 1),
+        (2, "Copy", "Cat", "arne@example.org", "Passw0rdX", "Male", 1, 2026, "CAFE", 1, 1),
+        (3, "Sami", "Tolosa", "sami@example.org", "Passw0rdX", "Male", 2, 2025, "NON_CAFE", 2, None),
     ], "seq long, first_name string, last_name string, email string, password string, gender string, "
        "year_of_study int, year_enrolled int, student_type string, department_id long, dormitory_id long")
     r = W.register_students(seed["students"], req, seed["departments"], seed["dormitories"], SEED_NOW)
     assert sorted(rows(r.changed, "student_id", "email", "is_approved")) == [
-        (6, "liya@stu.aau.et", False), (7, "sami@stu.aau.et", False)]
+        (6, "liya@example.org", False), (7, "sami@example.org", False)]
     assert rows(r.rejected, "seq", "message") == [(2, "Email already registered.")]
     assert sorted(rows(r.audit, "actor_id", "actor_type", "target_id", "new_value")) == [
         (6, "STUDENT", 6, "New student registered: Liya Haile"),
@@ -53,7 +53,7 @@ def test_m2_approve(spark, seed):
     assert rows(r.changed, "student_id", "is_approved") == [(5, True)]
     assert r.table.filter("is_approved").count() == 5
     assert sorted(rows(r.audit, "audit_seq", "new_value")) == [
-        (1, "Approved student Abebe Kebede"), (2, "Approved student Abebe Kebede")]
+        (1, "Approved student Arlo Kestrel"), (2, "Approved student Arlo Kestrel")]
     assert rows(r.rejected, "cmd_id", "message") == [(3, W.STUDENT_NOT_FOUND)]
 
 
@@ -134,7 +134,7 @@ def test_m9_m10_audit_append_only(spark, seed):
     cmd = spark.createDataFrame([(10, 5, 1, SEED_NOW)], "cmd_id long, student_id long, admin_id long, ts timestamp_ntz")
     r = W.approve_students(seed["students"], cmd)
     table, appended = W.append_audit(seed["audit_logs"], r.audit)
-    assert rows(appended, "log_id", "new_value") == [(4, "Approved student Abebe Kebede")]
+    assert rows(appended, "log_id", "new_value") == [(4, "Approved student Arlo Kestrel")]
     assert W.audit_changes(seed["audit_logs"], table).count() == 0
     assert W.audit_changes(table, seed["audit_logs"]).count() == 1
 
