@@ -30,7 +30,7 @@ from stipendlens.operators import views as V  # noqa: E402
 from stipendlens.operators import workflows as W  # noqa: E402
 from stipendlens.streaming.ticks import event_tick_stream, run_tick_streams  # noqa: E402
 from stipendlens.sources.mapping import (ATTENDANCE_AS_OF, PAYMENTS_AS_OF, WORKFLOW_ADMIN,  # noqa: E402
-                                         WORKFLOW_AS_OF, Commands, Domain)
+                                         WORKFLOW_AS_OF, Commands, Domain, Faulty)
 
 try:
     from stipendlens.llm import queries as _llm  # noqa: E402
@@ -98,6 +98,31 @@ def _student_violations(d: Domain) -> DataFrame:
                         "student_id")
 
 
+def _faulty_students(d: Domain) -> DataFrame:
+    df = Faulty(d).students
+    return Q.violations(df, Q.student_rules(df, None, d.departments, d.dormitories, order_col="seq"), "seq")
+
+
+def _faulty_payments(d: Domain) -> DataFrame:
+    df = Faulty(d).payments
+    return Q.violations(df, Q.payment_rules(df, None, d.students, d.admins, order_col="seq"), "seq")
+
+
+def _faulty_ticks(d: Domain) -> DataFrame:
+    df = Faulty(d).ticks
+    return Q.violations(df, Q.attendance_rules(df, None, d.students, d.menus, order_col="seq"), "seq")
+
+
+def _faulty_menus(d: Domain) -> DataFrame:
+    df = Faulty(d).menus
+    return Q.violations(df, Q.menu_rules(df), "seq")
+
+
+def _faulty_audit(d: Domain) -> DataFrame:
+    df = Faulty(d).audit_logs
+    return Q.violations(df, Q.audit_rules(df), "seq")
+
+
 def _attendance_split(d: Domain, side: int) -> DataFrame:
     raw, rules = _attendance_rules(d)
     out = Q.split_valid(raw, rules, "attendance_id")[side]
@@ -192,6 +217,11 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "c03_student_violations": _student_violations,
     "c04_attendance_split_valid": lambda d: _attendance_split(d, 0),
     "c05_attendance_rejected": lambda d: _attendance_split(d, 1),
+    "c06_faulty_students": _faulty_students,
+    "c07_faulty_payments": _faulty_payments,
+    "c08_faulty_ticks": _faulty_ticks,
+    "c09_faulty_menus": _faulty_menus,
+    "c10_faulty_audit_rows": _faulty_audit,
     "m01_register_students": lambda d: _register(d).changed,
     "m01_register_rejected": lambda d: _register(d).rejected.select("seq", "first_reason", "message"),
     "m02_approve_students": lambda d: _approve(d).changed,

@@ -280,6 +280,58 @@ class Commands:
                                                                F.col("logged_at").alias("ts"))
 
 
+class Faulty:
+    """The mapped tables with faults written into them by column expressions
+    over all rows, so that every integrity rule has rows to find. ``seq`` is
+    the row's own number; the primary key itself may be NULL or repeated."""
+
+    def __init__(self, d: Domain):
+        self.d = d
+
+    @staticmethod
+    def _spoil(df: DataFrame, pk: str, faults: dict[str, list[tuple[int, object]]]) -> DataFrame:
+        """Per column: (every n-th row, the value it gets), first match first."""
+        out = df.withColumn("seq", F.col(pk))
+        for name, cases in faults.items():
+            kind, value = df.schema[name].dataType, None
+            for n, bad in cases:
+                bad = bad if isinstance(bad, Column) else F.lit(bad)
+                hit = F.col("seq") % n == 1
+                value = F.when(hit, bad.cast(kind)) if value is None else value.when(hit, bad.cast(kind))
+            out = out.withColumn(name, value.otherwise(F.col(name)))
+        return out
+
+    @property
+    def students(self) -> DataFrame:
+        return self._spoil(self.d.students, "student_id", {
+            "first_name": [(19, "x" * 90)], "email": [(23, None), (29, "same@example.org")], "gender": [(11, "Unknown")],
+            "year_of_study": [(17, 9)], "student_type": [(13, None), (26, "GUEST")], "department_id": [(31, 9999)],
+            "dormitory_id": [(37, 999999)], "student_id": [(41, F.col("student_id") + 1), (43, None)]})
+
+    @property
+    def payments(self) -> DataFrame:
+        return self._spoil(self.d.cash_payments, "payment_id", {
+            "student_id": [(19, 99999999)], "amount": [(11, -1)], "payment_month": [(13, 13)], "payment_year": [(29, None)],
+            "status": [(17, "LOST")], "confirmed_by": [(23, 99999999)], "payment_id": [(31, F.col("payment_id") + 1)]})
+
+    @property
+    def ticks(self) -> DataFrame:
+        return self._spoil(self.d.meal_attendance, "attendance_id", {
+            "student_id": [(17, 99999999)], "menu_id": [(13, 99999999)], "meal_date": [(19, None)], "meal_type": [(11, "BRUNCH")],
+            "attendance_id": [(23, F.col("attendance_id") + 1)]})
+
+    @property
+    def menus(self) -> DataFrame:
+        return self._spoil(self.d.menus, "menu_id", {
+            "item_name": [(13, "y" * 130), (17, None)], "meal_type": [(11, "BRUNCH")], "price": [(7, -2)],
+            "menu_id": [(19, F.col("menu_id") + 1)]})
+
+    @property
+    def audit_logs(self) -> DataFrame:
+        return self._spoil(self.d.audit_logs, "log_id", {
+            "actor_type": [(11, "GUEST")], "action": [(13, "PEEK")], "target_table": [(17, "z" * 70)], "log_id": [(19, F.col("log_id") + 1)]})
+
+
 def load_domain(spark: SparkSession, sf_dir: str) -> Domain:
     return Domain(spark, sf_dir)
 

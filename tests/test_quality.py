@@ -132,3 +132,21 @@ def test_form_numbers_never_fail_the_batch(spark):
     assert [got[i] for i in range(len(texts))] == [3, 4, 0, None, None, None, None, None, 2, -100, None, None]
     bad = {r["i"] for r in Q.violations(df, [Q.form_number("n", "n")], "i").collect()}
     assert bad == {4, 5, 6, 7, 10, 11}
+
+
+def test_every_rule_fires_on_the_faulty_tables(spark):
+    import __spark_entry__ as E
+
+    fired = {}
+    for name in ("c06_faulty_students", "c07_faulty_payments", "c08_faulty_ticks", "c09_faulty_menus", "c10_faulty_audit_rows"):
+        got = E.queries()[name](spark, "/root/testdata/sf0.01")
+        fired[name] = {r["rule_id"] for r in got.select("rule_id").distinct().collect()}
+    assert fired["c06_faulty_students"] >= {
+        "domain:gender", "domain:student_type", "length:first_name", "not_null:student_id", "not_null:email", "not_null:student_type",
+        "check:year_of_study", "fk:department_id", "fk:dormitory_id", "unique:students_email_key", "unique:students_pkey"}
+    assert fired["c07_faulty_payments"] >= {
+        "domain:status", "not_null:payment_year", "check:amount_positive", "check:payment_month", "fk:student_id", "fk:confirmed_by",
+        "unique:cash_payments_pkey"}
+    assert fired["c08_faulty_ticks"] >= {"domain:meal_type", "not_null:meal_date", "fk:student_id", "fk:menu_id", "unique:meal_attendance_pkey"}
+    assert fired["c09_faulty_menus"] >= {"length:item_name", "not_null:item_name", "domain:meal_type", "check:price_non_negative", "unique:menus_pkey"}
+    assert fired["c10_faulty_audit_rows"] >= {"check:actor_type_in", "check:action_in", "length:target_table", "unique:audit_logs_pkey"}
