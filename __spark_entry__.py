@@ -171,6 +171,14 @@ def _delete_unavailable_menus(d: Domain) -> DataFrame:
     return blocked
 
 
+def _delete(d: Domain, table: str, every: int, child: str) -> DataFrame:
+    """``child`` after deleting the rows of ``table`` whose key is divisible by ``every``."""
+    tables = {n: getattr(d, n) for n in (table, child)}
+    pk = f"{table.rstrip('s').replace('dormitorie', 'dormitory')}_id"
+    ids = tables[table].filter(F.col(pk) % every == 0).select(pk)
+    return W.delete_rows(tables, table, ids)[0][child]
+
+
 def _stream_dashboard(d: Domain) -> DataFrame:
     """T1 + T2 run to completion over the events file as a stream source."""
     n_parts = d.raw("part").count()
@@ -235,10 +243,18 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
                                                                              "message"),
     "m07_force_confirm": lambda d: W.force_payment_status(d.cash_payments, Commands(d).period_keys(), "CONFIRMED",
                                                           _payments_clock(), WORKFLOW_ADMIN).changed,
+    "m07_force_sent": lambda d: W.force_payment_status(d.cash_payments, Commands(d).period_keys(), "SENT", _payments_clock(),
+                                                       WORKFLOW_ADMIN).changed,
     "m08_record_ticks": lambda d: _ticks(d).changed,
+    "m01_register_audit": lambda d: W.append_audit(d.audit_logs, _register(d).audit)[1],
+    "m03_create_payments_audit": lambda d: W.append_audit(d.audit_logs, _create_payments(d).audit)[1],
     "m09_append_audit": lambda d: W.append_audit(d.audit_logs, _approve(d).audit)[1],
     "m11_stamp_last_login": lambda d: W.stamp_last_login(d.admins, Commands(d).admin_logins()).table,
     "m12_delete_students_cascade": _delete_unapproved,
+    "m12_delete_students_ticks": lambda d: _delete(d, "students", 3, "meal_attendance"),
+    "m12_delete_departments_set_null": lambda d: _delete(d, "departments", 5, "students"),
+    "m12_delete_dormitories_set_null": lambda d: _delete(d, "dormitories", 4, "students"),
+    "m12_delete_admins_set_null": lambda d: _delete(d, "admins", 3, "cash_payments"),
     "m12_delete_menus_restrict": _delete_unavailable_menus,
     "t01_stream_daily_dashboard": _stream_dashboard,
 }
