@@ -1,19 +1,20 @@
 """Linking items that share keys, without all pairs of a bucket.
 
-``link`` takes items with candidate keys (bands, hash blocks) and a verifier
-and returns verified links from which ``components`` gives the groups that
-all candidate pairs would give:
-
-1. in each shared bucket every member is checked against the bucket's hub,
-   its smallest id: members, not pairs;
-2. hub links give first components; a pair inside one component needs no
-   check, whatever its bucket's size;
-3. pairs of *different* components that share a bucket are checked, except
-   where the hub distances already exclude a link: with a metric distance d,
-   d(x, y) >= |d(x, hub) - d(y, hub)|.
-
-A bucket of one huge group thus costs as many checks as it has members, and
-no link between different texts is lost. Shared keys are counted with a
+``link`` takes items with candidate keys (bands) and a verifier and returns
+verified links from which ``components`` gives the groups that all candidate
+pairs would give:
+
+1. in rounds, each bucket that holds several components draws a hub by hash
+   (another one each round), and every member of another component is checked
+   against it: members, not pairs. Links found join components, so a bucket
+   of one huge group soon holds one component, whatever its size, and a pair
+   inside a component needs no check;
+2. what is left, pairs of *different* components that still share a bucket, is
+   checked in full: a bucket is dealt by hash into chunks of about ``CHUNK``
+   members, and every two chunks meet in one group of bounded size, which
+   compares its members in place and returns links, not pairs.
+
+No link between different components is lost. Shared keys are counted with a
 map-side combine before members are joined to them, and the joins leave the
 member side for AQE to split when a key is hot. Everything that is read twice
 is checkpointed in the shared folder; counts and flags are all that reaches
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipendlens.plans.lineage import cut_lineage
@@ -61,39 +62,47 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def link(items: DataFrame, payload: tuple[str, ...], may_link: Callable[[Column, Column], Column] | None,
-         verify: Callable[[DataFrame], DataFrame], min_similarity: float, metric: bool = True) -> DataFrame:
-    """``items(id bigint, keys array<bigint>, *payload)`` -> verified links
-    (a, b). ``may_link(x, y)`` is a cheap test on two structs (id,
-    *payload); ``verify`` maps pairs (a, b) to (a, b, similarity)."""
-    members = items.select(F.explode("keys").alias("key"), F.struct("id", *payload).alias("x"))
+CHUNK = 128
+
+
+def chunk_pairs(rest: DataFrame) -> DataFrame:
+    """``rest(key, id, root)`` -> key, i, j, own (the member's chunk, i or j),
+    id, root: every member once for each chunk that its own one meets."""
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    dealt = rest.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
+
+
+def link(items: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame],
+         min_similarity: float, rounds: int = 2) -> DataFrame:
+    """``items(id bigint, keys array<bigint>)`` -> verified links (a, b).
+    ``verify`` maps pairs (a, b) to (a, b, similarity); ``compare`` maps
+    ``chunk_pairs`` to the links (a, b) between members of different roots."""
+    members = items.select(F.explode("keys").alias("key"), "id")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
     members = cut_lineage(members.join(shared, "key", "left_semi"))
-    hubs = members.groupBy("key").agg(F.min("x").alias("hub"))
-    member, hub = F.col("x"), F.col("hub")
-    test = may_link or (lambda x, y: F.lit(True))
-    placed = members.join(hubs, "key")
-    pairs = placed.filter((member["id"] != hub["id"]) & test(member, hub)).select(
-        hub["id"].alias("a"), member["id"].alias("b")).distinct()
-    checked = cut_lineage(verify(pairs))
-    links = checked.filter(F.col("similarity") >= min_similarity).select("a", "b")
-    roots = components(links)
-    label = placed.select("key", "x", hub["id"].alias("hub"), member["id"].alias("id")).join(roots, "id", "left")
-    label = cut_lineage(label.withColumn("root", F.coalesce("root", "id")))
-    open_keys = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    rest = label.filter(F.col("id") != F.col("hub")).join(open_keys.select("key"), "key", "left_semi")
-    if metric:
-        seen = checked.select(F.col("a").alias("hub"), F.col("b").alias("id"), "similarity")
-        rest = rest.join(seen, ["hub", "id"], "left")
-    else:
-        rest = rest.withColumn("similarity", F.lit(None).cast("double"))
-    rest = cut_lineage(rest.select("key", "id", "x", "root", "similarity"))
-    left = rest.select("key", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("root").alias("ar"),
-                       F.col("similarity").alias("asim"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("root").alias("br"),
-                        F.col("similarity").alias("bsim"))
-    near = F.coalesce(F.abs(F.col("asim") - F.col("bsim")), F.lit(0.0)) <= 1 - min_similarity + 1e-9
-    cross = left.join(right, "key").filter((F.col("ar") < F.col("br")) & near & test(F.col("ax"), F.col("bx")))
-    cross = cross.select("a", "b").distinct()
-    more = verify(cross).filter(F.col("similarity") >= min_similarity).select("a", "b")
+    links, roots = None, None
+
+    def still_open() -> DataFrame:
+        """Members (key, id, root) of the buckets that hold several components."""
+        placed = members.select("key", "id", F.col("id").alias("root"))
+        if roots is not None:
+            placed = members.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+        return cut_lineage(placed.join(several.select("key"), "key", "left_semi").select("key", "id", "root"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        found = verify(pairs.distinct()).filter(F.col("similarity") >= min_similarity).select("a", "b")
+        return cut_lineage(found if links is None else links.unionByName(found))
+
+    for r in range(rounds):
+        members = still_open()
+        drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(r)), "id", "root")).alias("hub"))
+        pairs = members.join(drawn, "key").filter(F.col("root") != F.col("hub.root")).select(
+            F.col("hub.id").alias("a"), F.col("id").alias("b"))
+        links = linked(pairs)
+        roots = components(links)
+    more = compare(chunk_pairs(still_open())).select("a", "b").distinct()
     return cut_lineage(links.unionByName(more))

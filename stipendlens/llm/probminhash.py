@@ -13,8 +13,7 @@ equal to their probability Jaccard similarity
 which is the plain Jaccard similarity where all weights are equal. Registers
 are cut into bands; texts that meet in a band are verified with the exact J_P
 of their whole texts. 28 bands of 5 miss a pair at similarity 0.8 with
-probability 1.5e-5. 1 - J_P is a metric, which ``linking`` uses to avoid all
-pairs of a bucket.
+probability 1.5e-5; ``linking`` keeps large groups from being paired in full.
 
 Equal texts are one row (128-bit key, combined map-side) before anything is
 paired. Signatures and verification are numpy on Arrow batches inside tasks;
@@ -192,13 +191,63 @@ def verifier(docs: DataFrame, max_broadcast_rows: int):
     return verify
 
 
+def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, min_similarity: float) -> list[tuple[int, int]]:
+    """Pairs of ``wanted`` (boolean matrix) whose J_P reaches the threshold:
+    for sets of equal weights from shared counts, summed over blocks of
+    shingles; for others one by one."""
+    n = len(sets)
+    where = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    every, column = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    where, column = where[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for start in range(0, len(every), 4096):
+        lo, hi = np.searchsorted(column, (start, start + 4096))
+        block = np.zeros((n, 4096), np.float32)
+        block[where[lo:hi], column[lo:hi] - start] = 1
+        shared += block @ block.T
+    size = np.array([len(h) for h, _ in sets], np.float32)
+    plain = np.array([c.min() == c.max() for _, c in sets])
+    exact = plain[:, None] & plain[None, :]
+    jaccard = shared / np.maximum(size[:, None] + size[None, :] - shared, 1)
+    found = np.argwhere(wanted & exact & (jaccard >= min_similarity - 1e-6)).tolist()
+    for i, j in np.argwhere(wanted & ~exact & (shared > 0)).tolist():
+        if probability_jaccard(sets[i], sets[j]) >= min_similarity:
+            found.append([i, j])
+    return [(i, j) for i, j in found]
+
+
+def comparer(docs: DataFrame, min_similarity: float, max_broadcast_rows: int):
+    """``linking.chunk_pairs`` rows -> links (a, b) between different roots."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        hashes = _Hashes()
+        roots, own = group["root"].to_numpy(), group["own"].to_numpy()
+        same_chunk = group["i"].iloc[0] == group["j"].iloc[0]
+        wanted = np.triu(roots[:, None] != roots[None, :], 1)
+        if not same_chunk:
+            wanted &= own[:, None] != own[None, :]
+        links = similar_pairs([shingles(t, hashes) for t in group["text"]], wanted, min_similarity) if wanted.any() else []
+        ids = group["id"].to_numpy()
+        return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
+
+    def compare(rows: DataFrame) -> DataFrame:
+        wanted = cut_lineage(rows.select("id").distinct())
+        texts = docs.select(F.xxhash64("text").alias("id"), "text").join(
+            bounded_broadcast(wanted, max_broadcast_rows), "id", "left_semi").dropDuplicates(["id"])
+        return rows.join(texts, "id").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+
+    return compare
+
+
 def near_classes(docs: DataFrame, bands: int = 28, rows: int = 5, min_similarity: float = 0.8,
                  max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row per different text: k1, k2, doc_id (its smallest), class_id
     (the smallest doc_id of its group)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     classes = cut_lineage(text_classes(docs, bands, rows))
-    links = link(classes.select(F.col("k1").alias("id"), "keys"), (), None, verifier(docs, max_broadcast_rows), min_similarity)
+    links = link(classes.select(F.col("k1").alias("id"), "keys"), verifier(docs, max_broadcast_rows),
+                 comparer(docs, min_similarity, max_broadcast_rows), min_similarity)
     groups = classes.drop("keys").join(components(links).withColumnRenamed("id", "k1"), "k1", "left")
     grouped = groups.filter(F.col("root").isNotNull())
     named = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))

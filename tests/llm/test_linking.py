@@ -39,8 +39,13 @@ def links_of(spark, points, keys):
         return pairs.join(where.selectExpr("id as a", "x as xa"), "a").join(where.selectExpr("id as b", "x as xb"), "b").select(
             "a", "b", (1 - F.abs(F.col("xa") - F.col("xb"))).alias("similarity"))
 
+    def compare(rows):
+        x, y = rows.alias("x"), rows.alias("y")
+        pairs = x.join(y, ["key", "i", "j"]).filter("x.root < y.root and (i = j or x.own != y.own)").selectExpr("x.id as a", "y.id as b")
+        return verify(pairs.distinct()).filter("similarity >= 0.8")
+
     items = spark.createDataFrame([(i, keys[i]) for i in points], "id bigint, keys array<bigint>")
-    return link(items, (), None, verify, 0.8)
+    return link(items, verify, compare, 0.8)
 
 
 def test_links_join_what_all_pairs_would(spark):
@@ -56,5 +61,5 @@ def test_links_join_what_all_pairs_would(spark):
 def test_a_hot_group_costs_its_members_not_its_pairs(spark):
     points = {i: 3.0 + i / 1000 for i in range(150)} | {500: 9.0, 501: 9.1, 502: 20.0}
     links = links_of(spark, points, {i: [1, 2, 3] for i in points})
-    assert links.count() == 149 + 1
+    assert links.count() <= 3 * 150 + 4, "members of the three buckets, not 11,175 pairs"
     assert {r["id"]: r["root"] for r in components(links).collect()} == {i: 0 for i in range(150)} | {500: 500, 501: 500}

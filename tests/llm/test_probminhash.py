@@ -48,6 +48,17 @@ def test_registers_estimate_the_similarity():
     assert (r[0] == r[1]).mean() == pytest.approx(P.probability_jaccard(*s), abs=0.03)
 
 
+def test_similar_pairs_are_the_pairs_at_the_threshold():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(1, 3000))) for _ in range(6)]
+    texts += [" ".join(t.split()[:rng.randrange(1, 9999)]) for t in texts for _ in range(4)] + ["a b " * 40, "a b " * 90, "c " * 9]
+    h = P._Hashes()
+    sets = [P.shingles(t, h) for t in texts]
+    wanted = np.triu(np.ones((len(sets), len(sets)), bool), 1)
+    got = P.similar_pairs(sets, wanted, 0.8)
+    assert sorted(got) == [(i, j) for i, j in combinations(range(len(sets)), 2) if P.probability_jaccard(sets[i], sets[j]) >= 0.8]
+
+
 def check(docs):
     rows = docs.select("doc_id", "text").collect()
     got = sorted(map(tuple, P.near_duplicates(docs).collect()), key=repr)
