@@ -62,7 +62,7 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-CHUNK = 128
+CHUNK = 512
 
 
 def chunk_pairs(rest: DataFrame) -> DataFrame:
