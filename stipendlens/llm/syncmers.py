@@ -5,19 +5,20 @@ smallest hash among its inner runs of ``S`` words is that of the first or the
 last (a closed syncmer): whether it is chosen depends on its own words only,
 never on its surroundings, so equal passages give equal anchors wherever they
 stand, and of any ``K - S + 1`` neighbouring runs at least one is chosen. ``anchors``
-returns them with their word positions; a fingerprint is the ``SKETCH``
-smallest different anchor hashes of the whole text (all of them for texts
-with fewer), and likeness is the Jaccard estimate of two such sketches,
-exact when neither was cut.
+returns them with their word positions; a fingerprint is all different anchor
+hashes of the whole text, and likeness is the Jaccard index of two such sets.
+Positions are matched by neighbours: two anchors in a row with the same gap in
+words stand at one offset in both texts, wherever their passage moved.
+``placed_edited`` and ``placed_next`` are the Jaccard index of these pairs.
 
 DataFrame functions only. Every document is compared with the next one
 (descending doc_id) and with its edited text, whose tail comes from the next
 one: neighbours are found on a table of ids and lengths; the texts are
-shuffled once, and only the prefix the neighbour needs and the fingerprint
-travel on.
+shuffled, and each travels once more to the document before it, which
+is smaller than its anchors; nothing is sampled.
 
 Defined results: NULL text: empty; fewer than ``K`` words: one anchor, the
-whole text; no word: an empty fingerprint (two of them are alike, 1.0);
+whole text, which is its own pair; no word: an empty fingerprint (two of them are alike, 1.0);
 the next of the last document is the first; equal ids order by text hash;
 NULL ids come last; repeated rows (same id and text) are one document here
 and answered alike; no rows: no rows.
@@ -32,7 +33,8 @@ from stipendlens.llm.common import SPACE, key128
 from stipendlens.plans.lineage import cut_lineage
 from stipendlens.plans.ranking import dense_ids
 
-K, S, SKETCH = 4, 2, 128
+K, S = 4, 2
+SKETCH = None  # anchors a fingerprint is cut to: none is dropped
 
 
 def _let(value: Column, f) -> Column:
@@ -76,21 +78,30 @@ def anchors(text: Column) -> Column:
     return _chosen(text, lambda i, h: F.struct(i.alias("pos"), h.alias("hash")), "struct<pos:int,hash:int>")
 
 
-def sketch(text: Column, size: int = SKETCH) -> Column:
-    """The ``size`` smallest different anchor hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(_chosen(text, lambda i, h: h, "int"))), 1, size)
+def signature(text: Column) -> Column:
+    """struct<hashes, pairs>: the different anchor hashes, ascending, and the
+    different pairs of neighbouring anchors with their gap in words."""
+
+    def pairs(a: Column) -> Column:
+        def pair(x: Column, y: Column) -> Column:
+            return F.xxhash64(x["hash"], y["hash"], y["pos"] - x["pos"])
+
+        n = F.greatest(F.size(a) - 1, F.lit(0))
+        return F.when(F.size(a) == 1, F.transform(a, lambda x: F.xxhash64(x["hash"]))).otherwise(
+            F.array_distinct(F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(2), n), pair)))
+
+    return _let(anchors(text), lambda a: F.struct(
+        F.sort_array(F.array_distinct(F.transform(a, lambda x: x["hash"]))).alias("hashes"), pairs(a).alias("pairs")))
 
 
 def as_text(sk: Column) -> Column:
     return F.array_join(F.transform(sk, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    def of(u: Column) -> Column:
-        both = F.size(F.array_intersect(u, F.array_intersect(a, b)))
-        return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(both / F.size(u))
-
-    return _let(F.slice(F.sort_array(F.array_union(a, b)), 1, size), of)
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard index of two arrays of different values; 1.0 of two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    return _let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -109,21 +120,23 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next for ``docs(doc_id bigint, text)``."""
+    near_edited, near_next, placed_edited, placed_next for ``docs(doc_id bigint, text)``."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     beside = cut_lineage(neighbours(docs).select("row", "prev_row", "prev_chars"))
     k1, k2 = key128(F.col("text"))
     placed = docs.select(F.struct("doc_id", k1.alias("k1"), k2.alias("k2")).alias("row"), "text").repartition("row")
     donors = placed.join(beside, "row").select(
-        F.col("prev_row").alias("row"), F.substr("text", F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int")).alias("lent"),
-        sketch(F.col("text")).alias("next_sk")).dropDuplicates(["row"])
+        F.col("prev_row").alias("row"), "prev_chars", F.col("text").alias("next_text")).dropDuplicates(["row"])
     joined = placed.join(donors, "row")
     n = F.length("text")
-    edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("lent"))
+    lent = F.substr("next_text", F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int"))
+    edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 3).cast("int")), lent)
     out = joined.select(F.col("row.doc_id").alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"),
-                        sketch(F.col("text")).alias("sk"), "next_sk")
-    out = out.withColumn("edited_sk", sketch(F.col("edited")))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sk")).alias("fingerprint"),
-                      as_text(F.col("edited_sk")).alias("edited_fingerprint"),
-                      likeness(F.col("sk"), F.col("edited_sk")).alias("near_edited"),
-                      likeness(F.col("sk"), F.col("next_sk")).alias("near_next"))
+                        signature(F.col("text")).alias("sig"), signature(F.col("next_text")).alias("next_sig"))
+    out = out.withColumn("edited_sig", signature(F.col("edited")))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                      as_text(F.col("sig.hashes")).alias("fingerprint"), as_text(F.col("edited_sig.hashes")).alias("edited_fingerprint"),
+                      likeness(F.col("sig.hashes"), F.col("edited_sig.hashes")).alias("near_edited"),
+                      likeness(F.col("sig.hashes"), F.col("next_sig.hashes")).alias("near_next"),
+                      likeness(F.col("sig.pairs"), F.col("edited_sig.pairs")).alias("placed_edited"),
+                      likeness(F.col("sig.pairs"), F.col("next_sig.pairs")).alias("placed_next"))

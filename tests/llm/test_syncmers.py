@@ -70,3 +70,23 @@ def test_anchors_are_closed_syncmers(spark):
 
 def test_empty_table(make_docs):
     assert X.fingerprints(make_docs([(1, "a")]).filter("false")).count() == 0
+
+
+def test_all_anchors_of_long_texts_count_with_their_positions(spark, make_docs):
+    """One replaced tail in a long text, and its passages in another order, against a model of placed pairs."""
+    words = [f"w{i}" for i in range(6000)]
+    blocks = [words[i:i + 6] for i in range(0, 6000, 6)]
+    rows = [(2, " ".join(words)), (1, " ".join(w for b in reversed(blocks) for w in b))]
+    docs = make_docs(rows)
+    got = check(spark, docs)
+    assert len(got[2]["fingerprint"]) > 8 * 2000
+
+    def pairs(text):
+        a = spark.createDataFrame([(text,)], "text string").select(X.anchors(F.col("text")).alias("a")).first()["a"]
+        return {(x["hash"], y["hash"], y["pos"] - x["pos"]) for x, y in zip(a, a[1:])}
+
+    mine, other = pairs(rows[0][1]), pairs(rows[1][1])
+    cut = len(rows[0][1]) // 3
+    edited = pairs(rows[0][1][:len(rows[0][1]) - cut] + rows[1][1][:cut])
+    assert got[2]["placed_next"] == len(mine & other) / len(mine | other) < got[2]["near_next"]
+    assert got[2]["placed_edited"] == len(mine & edited) / len(mine | edited) > 0.4
