@@ -5,8 +5,10 @@ another character), and the batch's different segments are concatenated and
 indexed by a suffix array. Every vocabulary piece is binary-searched in it, which
 gives the range of its occurrences; these are the edges (position, length,
 piece), kept by position. The edges are then relaxed: in each round every
-segment joins the two neighbouring symbols whose union is an edge of the best
-score, leftmost first, until no edge joins two symbols. That is the order of
+segment joins all neighbouring symbols whose union is an edge of the best
+score, leftmost first and without overlap, until no edge joins two symbols, so
+rounds follow the vocabulary and not the text (a segment joins one pair where
+its union would join a neighbour at no later rank). That is the order of
 the model at hand (byte-pair pieces, scored by merge order), so the ids equal
 the library's; a relaxation by summed path score would be that of a unigram
 model. Characters without a piece become byte pieces.
@@ -15,7 +17,8 @@ The vocabulary (a few ten thousand pieces) is read on the driver from the
 model file whose path is a parameter and travels with the task. Work is
 numpy on Arrow batches where the documents lie: no shuffle. Segments already
 cut are remembered per task up to ``_REMEMBERED``, indexed in chunks of ``_CHUNK``
-characters, so memory is bounded for texts of any length.
+characters; a longer segment is indexed in windows of ``_CHUNK``, and only its
+edge table grows with it (4 bytes a position and length).
 
 Defined results: NULL or empty text: no tokens, decoded as an empty text; the
 mark character U+2581 in a text decodes as a blank (as in the library), any
@@ -88,6 +91,13 @@ class Encoder:
     # -- one chunk of segments ------------------------------------------------
     def _edges(self, code: np.ndarray) -> np.ndarray:
         """(position, length) -> index of the piece that occurs there, or -1."""
+        edge = np.empty((len(code), self.longest + 1), np.int32)
+        for a in range(0, len(code), 2 * _CHUNK):
+            b = min(a + 2 * _CHUNK, len(code))
+            edge[a:b] = self._window_edges(code[a:b + self.longest])[:b - a]
+        return edge
+
+    def _window_edges(self, code: np.ndarray) -> np.ndarray:
         n, pad = len(code), self.columns * _WIDE
         padded = np.concatenate([code, np.zeros(pad, np.int64)])
         key = _pack(np.lib.stride_tricks.sliding_window_view(padded, _WIDE)[:n])
@@ -125,13 +135,30 @@ class Encoder:
             reach = np.where(same, np.append(end[1:], 0) - start, 0)
             fits = same & (reach <= self.longest)
             piece = np.where(fits, edge[start, np.where(fits, reach, 0)], -1)
-            best = np.where(piece >= 0, self.rank[piece], _NONE).astype(np.int64)
+            best = np.where(piece >= 0, self.rank[piece], _NONE)
             heads = np.flatnonzero(np.append(True, seg_of[1:] != seg_of[:-1]))
-            lowest = np.minimum.reduceat(best * (len(start) + 1) + np.arange(len(start)), heads)
-            open_ = lowest // (len(start) + 1) < int(_NONE)
-            still = np.repeat(open_, np.diff(np.append(heads, len(start))))
+            sizes = np.diff(np.append(heads, len(start)))
+            lowest = np.repeat(np.minimum.reduceat(best, heads), sizes)
+            still = lowest < _NONE
             done.append((seg_of[~still], start[~still], end[~still]))
-            chosen = lowest[open_] % (len(start) + 1)
+            hit = np.flatnonzero(still & (best == lowest))
+            runs = np.flatnonzero(np.append(True, np.diff(hit) != 1)[:len(hit)])  # of overlapping pairs every other one
+            chosen = hit[(np.arange(len(hit)) - np.repeat(runs, np.diff(np.append(runs, len(hit))))) % 2 == 0]
+            # a union that joins a neighbour at no later rank comes before the next pair: such a segment joins one pair
+            right, left = np.minimum(chosen + 2, len(start) - 1), np.maximum(chosen - 1, 0)
+            taken = np.zeros(len(start), bool)
+            taken[chosen] = True
+            left = np.where((left > 0) & taken[np.maximum(left - 1, 0)], left - 1, left)
+            early = np.zeros(len(chosen), bool)
+            for x, y, near in ((chosen, right, chosen + 2 < len(start)), (left, chosen + 1, chosen > 0)):
+                wide = end[y] - start[x]
+                fits = near & (seg_of[x] == seg_of[y]) & (wide <= self.longest)
+                union = np.where(fits, edge[start[x], np.where(fits, wide, 0)], -1)
+                early |= (union >= 0) & (self.rank[union] <= lowest[chosen])
+            alone = np.zeros(len(segments), bool)
+            alone[seg_of[chosen[early]]] = True
+            first = np.append(True, seg_of[chosen[1:]] != seg_of[chosen[:-1]])[:len(chosen)]
+            chosen = chosen[first | ~alone[seg_of[chosen]]]
             end[chosen] = end[chosen + 1]
             keep = still.copy()
             keep[chosen + 1] = False

@@ -57,3 +57,15 @@ def test_table(make_docs):
     back = {r["doc_id"]: r["text"] for r in S.decode(got).collect()}
     assert back == {1: "Hello  world", 2: "", None: "é\n中", 3: "the " * 50_000}
     assert S.encode(docs.filter("false")).count() == 0
+
+
+def test_long_segments_take_few_rounds_in_windows(monkeypatch):
+    rng = random.Random(4)
+    texts = ["ab" * 20_000, "".join(rng.choice("漢字仮名交文日本語") for _ in range(8_000)),
+             "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(20_000)), "the" * 4_000 + "a" * 9_000]
+    monkeypatch.setattr(S, "_CHUNK", 997)
+    check(texts)
+    calls, repeat = [], np.repeat  # each round repeats the segments' best ranks
+    monkeypatch.setattr(S.np, "repeat", lambda *a, **k: calls.append(1) or repeat(*a, **k))
+    check([texts[0], texts[3]])
+    assert len(calls) < 2_000
