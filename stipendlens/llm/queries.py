@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stipendlens.llm import (chat, fuzzy_lines, host_rules, mixing, probminhash, quality_bt, sentencepiece_sa, syncmers, toxicity,
+from stipendlens.llm import (chat, fuzzy_lines, host_rules, merkle, mixing, probminhash, quality_bt, sentencepiece_sa, syncmers, toxicity,
                              url_reputation)
 from stipendlens.llm.common import table
 from stipendlens.llm.oracles import ORACLES  # noqa: F401
@@ -56,6 +56,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
     "op2_probminhash": op2_probminhash,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_reputation": op8_url_reputation,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
