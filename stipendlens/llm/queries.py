@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stipendlens.llm import (chat, fuzzy_lines, host_rules, merkle, mixing, probminhash, quality_bt, sentencepiece_sa, syncmers, toxicity,
-                             url_reputation)
+from stipendlens.llm import (chat, fuzzy_lines, host_rules, merkle, mixing, periodic_runs, probminhash, quality_bt, sentencepiece_sa,
+                             syncmers, toxicity, url_reputation)
 from stipendlens.llm.common import table
 from stipendlens.llm.oracles import ORACLES  # noqa: F401
 
@@ -60,6 +60,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
     "op2_probminhash": op2_probminhash,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
