@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from stipendlens.llm import (chat, fuzzy_lines, host_rules, merkle, mixing, periodic_runs, probminhash, quality_bt, sentencepiece_sa,
-                             syncmers, toxicity, url_reputation)
+                             syncmers, toxicity, url_reputation, vantage)
 from stipendlens.llm.common import table
 from stipendlens.llm.oracles import ORACLES  # noqa: F401
 
@@ -64,6 +64,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
     "op2_probminhash": op2_probminhash,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_vantage_trees": op13_vantage_trees,
     "pipeline": corpus_pipeline.run,
 }
 

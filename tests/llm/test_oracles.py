@@ -24,4 +24,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_all_operators_and_the_pipeline_are_registered():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([f"op{i}" for i in range(1, 12)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
