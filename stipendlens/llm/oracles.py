@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express (op3, op5, op8).
+"""DuckDB SQL of the queries that SQL can express (op3, op5, op8, op11, op12, op13).
 
 Signatures, learned models and hash-keyed draws (op1, op2, op4, op6, op7,
 op9, op10, pipeline) need functions DuckDB lacks; tests hold those against
@@ -108,4 +108,105 @@ select p.page_id, p.host, p.path, f.rule,
 from split p left join fits f using (page_id)
 """
 
-ORACLES = {"op3_chat_formatting": OP3, "op5_host_rules": OP5, "op8_url_reputation": OP8}
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bits = f"[(ascii(substr({text}, 1 + i // 8, 1)) >> (i % 8)) & 1 for i in range(8 * length({text}))]"
+    return f"""xor(list_reduce({bits}, lambda c, b: xor(c >> 1, case when xor(c, b) & 1 = 1 then 3988292384 else 0 end), 4294967295::bigint),
+                4294967295::bigint)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang")) + " || {n} || " + _field("text")
+
+OP11 = rf"""
+with recursive leaves as (
+  select doc_id, lang, sha256({_LEAF.format(n=_field("n_chars"))}) as leaf,
+         sha256({_LEAF.format(n=_field("(case when " + _crc32("doc_id::varchar") + " % 7 = 0 then n_chars::hugeint + 1 else n_chars end)"))}) as claimed
+  from documents),
+placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf, claimed) - 1 as pos, row_number() over () as row from leaves),
+nodes as (
+  select lang, 0 as level, pos, leaf as hash, count(*) over (partition by lang) as n from placed
+  union all
+  select lang, level + 1, pos // 2, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 1) // 2
+  from nodes where n > 1 group by lang, level, pos // 2),
+subroots as (select lang, hash as subroot, row_number() over (order by lang nulls first) - 1 as place from nodes where n = 1),
+tops as (
+  select 0 as level, place as pos, subroot as hash, count(*) over () as n from subroots
+  union all
+  select level + 1, pos // 2, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 1) // 2
+  from tops where n > 1 group by level, pos // 2),
+steps as (
+  select p.row, x.level, x.pos % 2 = 0 as first, coalesce(s.hash, '') as sibling
+  from placed p join nodes x on x.lang is not distinct from p.lang and x.n > 1 and x.pos = p.pos >> x.level
+  left join nodes s on s.lang is not distinct from x.lang and s.level = x.level and s.pos = xor(x.pos, 1)
+  union all
+  select p.row, 100 + x.level, x.pos % 2 = 0, coalesce(s.hash, '')
+  from placed p join subroots r on r.lang is not distinct from p.lang join tops x on x.n > 1 and x.pos = r.place >> x.level
+  left join tops s on s.level = x.level and s.pos = xor(x.pos, 1)),
+proofs as (
+  select row, list(struct_pack(first := first, sibling := sibling) order by level) as steps, string_agg(sibling, '' order by level) as proof
+  from steps group by row),
+folded as (
+  select p.*, r.subroot, (select hash from tops where n = 1) as root, coalesce(f.proof, '') as proof,
+         list_reduce(list_prepend(struct_pack(first := true, sibling := p.claimed), coalesce(f.steps, [])),
+                     lambda h, s: struct_pack(first := true, sibling := sha256(case when s.first then h.sibling || s.sibling else s.sibling || h.sibling end))
+                     ).sibling as folded_root
+  from placed p join subroots r on r.lang is not distinct from p.lang left join proofs f on f.row = p.row)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
+OP12 = rf"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') as w, {_crc32("doc_id::varchar")} as h from documents),
+planted as (
+  select *, len(w) as n, h // 10 as g from d),
+cut as (
+  select *, case when h % 10 = 0 and n > 0 then g % n end as a from planted),
+texts as (
+  select row, doc_id, n, case when a is null then w else
+    [w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end] for i in range(n)] end as w from cut),
+words as (select row, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from texts),
+passages as (
+  select row, i, hash(word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o, lead(word, 5) over o) as h6,
+         lead(word, 5) over o is not null as whole
+  from words window o as (partition by row order by i)),
+-- a run of 12 words or more repeats some 6 words one period on
+matches as (
+  select x.row, x.i, y.i - x.i as q from passages x join passages y on x.row = y.row and x.h6 = y.h6 and y.i > x.i where x.whole and y.whole),
+stretches as (
+  select row, q, min(i) as start, max(i) - min(i) + 6 + q as length
+  from (select *, i - row_number() over (partition by row, q order by i) as island from matches) group by row, q, island),
+runs as (
+  select row, start, length, min(q) as period from stretches where length >= 2 * q and length >= 12 group by row, start, length),
+per as (
+  select row, count(*) as n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period)) as runs_sha256,
+         min(struct_pack(l := -length, s := start, p := period)) as best
+  from runs group by row),
+gone as (select distinct row, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select words.row, string_agg(word, ' ' order by i) as body from words anti join gone on words.row = gone.row and words.i = gone.i group by words.row)
+select t.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, (-best.l)::bigint as length, best.p::bigint as period,
+       (1000 * -best.l // best.p)::bigint as exponent_milli, coalesce(runs_sha256, sha256('')) as runs_sha256,
+       sha256(coalesce(body, '')) as collapsed_sha256
+from texts t left join per on per.row = t.row left join kept on kept.row = t.row
+"""
+
+OP13 = """
+with v as (
+  select distinct vec_id, [x::double for x in embedding] as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near as (
+  select q.vec_id as query_id, q.e as own, c.vec_id, sqrt(list_sum([(q.e[i] - c.e[i]) * (q.e[i] - c.e[i]) for i in range(1, len(q.e) + 1)])) as score
+  from v q join v c on len(q.e) = len(c.e) and not (q.vec_id = c.vec_id and q.e = c.e) where q.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by query_id, own order by score, vec_id) as r from near)
+select query_id::bigint as query_id, r::int as rank, vec_id::bigint as vec_id, score from ranked where r <= 10
+"""
+
+ORACLES = {"op3_chat_formatting": OP3, "op5_host_rules": OP5, "op8_url_reputation": OP8, "op11_merkle_manifest": OP11,
+           "op12_periodic_runs": OP12, "op13_vantage_trees": OP13}

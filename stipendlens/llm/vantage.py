@@ -54,6 +54,12 @@ def distances(points: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - x) ** 2).sum(axis=-1))
 
 
+def exact_scores(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Distances row by row, squares added from the first component to the
+    last: the same in every group, and in SQL."""
+    return np.sqrt(np.cumsum((points - queries) ** 2, axis=1)[:, -1])
+
+
 def _vantage(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Of a few points that whose distances to a few others spread most."""
     tried = points[rng.choice(len(points), min(len(points), 8), replace=False)]
@@ -130,7 +136,7 @@ class Tree:
                 w = who[s:s + width]
                 d = distances(self.points[None, lo:hi, :], queries[w][:, None, :])
                 seen += d.size
-                d[d > limit[w][:, None]] = np.inf
+                d[d * _SLACK > limit[w][:, None]] = np.inf
                 better = (d <= score[w, -1][:, None]).any(axis=1)
                 w, d = w[better], d[better]
                 scores = np.concatenate([score[w], d], axis=1)
@@ -286,13 +292,15 @@ class Index:
             reach = np.frombuffer(row["reach"]).reshape(-1, 4 + dim)
             tree = Tree(np.frombuffer(row["vectors"]).reshape(-1, dim), np.frombuffer(row["nodes"], np.int64).reshape(-1, 4),
                         reach[:, :4], reach[:, 4:])
-            score, place, _ = tree.search(_matrix(asks["vec"]), ids[starts], k, factor, asks["limit"].to_numpy())
+            wanted = _matrix(asks["vec"])
+            place = tree.search(wanted, ids[starts], k, factor, asks["limit"].to_numpy())[1]
             q, c = np.nonzero(place >= 0)
             p = place[q, c]
+            score = exact_scores(tree.points[p], wanted[q])
             n = (ends - starts)[p]
             which = np.repeat(np.arange(len(p)), n)  # every id of a point
             flat = ids[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[p], n)]
-            out = pd.DataFrame({"q": q[which], "score": score[q, c][which], "id": flat}).sort_values(["q", "score", "id"])
+            out = pd.DataFrame({"q": q[which], "score": score[which], "id": flat}).sort_values(["q", "score", "id"])
             out = out[out.groupby("q").cumcount() < k]
             return pd.DataFrame({"vec": asks["vec"].to_numpy()[out["q"].to_numpy()], "id": out["id"], "score": out["score"]})
 

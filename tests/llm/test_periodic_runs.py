@@ -1,0 +1,121 @@
+"""Periodic runs against a scan of every period."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stipendlens.llm import periodic_runs as P
+
+NONE = (0, None, None, None, None, hashlib.sha256(b"").hexdigest())
+
+
+def brute(t, min_length):
+    """Every maximal stretch of period q and at least 2 q words, smallest periods only."""
+    ids = np.array(t)
+    found = {}
+    for q in range(1, len(t) // 2 + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids[:-q] == ids[q:]).astype(int), [0]])))
+        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if e - s >= q and e + q - s >= min_length:
+                found.setdefault((s, e + q - s), q)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+periodic = st.builds(lambda head, part, times, tail: head + part * times + tail[:3],
+                     *[st.lists(st.integers(0, 2), min_size=n, max_size=m) for n, m in ((0, 12), (1, 7))], st.integers(1, 6),
+                     st.lists(st.integers(0, 2), max_size=12))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(periodic, st.lists(st.integers(0, 3), min_size=1, max_size=50)), st.sampled_from([2, 5, 12]))
+def test_runs_of_a_stretch(t, min_length):
+    assert [tuple(r) for r in P.stretch_runs(np.array(t), min_length).tolist()] == brute(t, min_length)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(periodic, max_size=6))
+def test_stretches_without_repeated_passages_hold_no_run(texts):
+    """Runs of a batch: what the passages rule out never holds one, nor do texts that follow each other make one."""
+    _, runs, _ = P._analyse(pa.array([" ".join(f"w{x}" for x in t) for t in texts], pa.string()), 12)
+    assert [[(r["start"], r["length"], r["period"]) for r in own.as_py()] for own in runs] == [brute(t, 12) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=2, max_size=40))
+def test_suffix_tree_orders_and_extends(t):
+    order, depth = P.SuffixTree(t).tour()
+    assert order.tolist() == sorted(range(len(t) + 1), key=lambda i: t[i:])
+    opposite = P.SuffixTree(t).tour(opposite=True)[0]
+    assert opposite.tolist() == sorted(range(len(t) + 1), key=lambda i: [-x for x in t[i:]])
+
+    def common(i, j):
+        n = 0
+        while max(i, j) + n < len(t) and t[i + n] == t[j + n]:
+            n += 1
+        return n
+
+    i, j = (x.ravel() for x in np.meshgrid(range(len(t) + 1), range(len(t) + 1)))
+    i, j = i[i != j], j[i != j]
+    assert P.Extensions(order, depth)(i, j).tolist() == [common(a, b) for a, b in zip(i, j)]
+
+
+def words_of(doc_id, text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not w:
+        return w
+    n, g = len(w), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def expected(doc_id, text):
+    w = words_of(doc_id, text)
+    runs = brute(np.unique(np.array(w, dtype=object).astype(str), return_inverse=True)[1].tolist() if w else [], 12)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else None
+    digest = hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in runs).encode()).hexdigest()
+    body = hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, digest, body)
+
+
+def test_documents(documents):
+    rows = [r for r in documents.collect() if len(r["text"] or "") < 20_000]
+    got = {r["doc_id"]: tuple(r) for r in P.run_digests(documents).collect()}
+    assert len(got) == documents.count()
+    assert {r["doc_id"]: got[r["doc_id"]] for r in rows} == {r["doc_id"]: expected(r["doc_id"], r["text"]) for r in rows}
+    assert sum(r[1] > 0 for r in got.values()) >= len(got) // 20
+
+
+def test_nulls_empty_long_repeated_and_clashing(make_docs):
+    texts = [None, "", " \n\t", "a", "a b " * 6, "one two three " * 3000, "x\x0by\x0cz\x1cq " * 5, "ä ß " * 7 + "end", "no repeats here at all"]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(None, "p q r " * 5), (None, None)]
+    docs = make_docs(rows).withColumnsRenamed({"class_id": "runs", "keys": "words", "row": "collapsed"})
+    got = sorted((tuple(r) for r in P.run_digests(docs).collect()), key=repr)
+    assert got == sorted((expected(*r) for r in rows), key=repr)
+    assert sum(r[1:7] == NONE for r in got) == sum(expected(*r)[1:7] == NONE for r in rows) > 0
+
+
+def test_empty_table(make_docs):
+    assert P.run_digests(make_docs([]).limit(0)).collect() == []
+    assert P.find_runs(make_docs([]).limit(0)).columns == ["doc_id", "n_words", "runs", "collapsed"]
+
+
+def test_a_long_text_of_one_word_and_one_of_two(make_docs):
+    got = {r["doc_id"]: r for r in P.find_runs(make_docs([(1, "z " * 200_000), (2, "k l m n " * 30_000 + "o")])).collect()}
+    assert [tuple(r) for r in got[1]["runs"]] == [(0, 200_000, 1)] and got[1]["collapsed"] == "z"
+    assert [tuple(r) for r in got[2]["runs"]] == [(0, 120_000, 4)] and got[2]["collapsed"] == "k l m n o"
+
+
+@pytest.mark.parametrize("keep", [("doc_id",), ("doc_id", "source", "text")])
+def test_kept_columns(make_docs, keep):
+    r = P.find_runs(make_docs([(5, "u v " * 8, "src")]), keep).first()
+    assert [r[c] for c in keep] == [{"doc_id": 5, "source": "src", "text": "u v " * 8}[c] for c in keep]
+    assert (r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"]) == (16, [(0, 16, 2)], "u v")
