@@ -305,7 +305,7 @@ class Faulty:
     def students(self) -> DataFrame:
         return self._spoil(self.d.students, "student_id", {
             "first_name": [(19, "x" * 90)], "email": [(23, None), (29, "same@example.org")], "gender": [(11, "Unknown")],
-            "year_of_study": [(17, 9)], "student_type": [(13, None), (26, "GUEST")], "department_id": [(31, 9999)],
+            "year_of_study": [(17, 9)], "student_type": [(26, "GUEST"), (13, None)], "department_id": [(31, 9999)],
             "dormitory_id": [(37, 999999)], "student_id": [(41, F.col("student_id") + 1), (43, None)]})
 
     @property
