@@ -1,7 +1,9 @@
 """Batch jobs for ``spark-submit``: the library's operators wired to
-storage. Every job reads the domain tables under ``--root``, writes only
-what changed (touched partitions, appended audit rows) via
-``commit_result`` and prints a one-line JSON summary.
+storage. Every job reads one version of the domain tables under ``--root``,
+writes only what changed (touched partitions, appended rows, audit rows),
+publishes it as the next version and prints a one-line JSON summary. A job that
+finds another version published meanwhile fails with ``ConcurrentCommit`` and
+has changed nothing: run it again.
 
     zip -r stipendlens.zip stipendlens
     S="spark-submit --py-files stipendlens.zip stipendlens/jobs.py"
@@ -11,6 +13,10 @@ what changed (touched partitions, appended audit rows) via
     $S create-payments --root /lake/stipend --requests /in/payments.parquet --as-of 2026-05-01
     $S monthly-payments --root /lake/stipend --as-of 2026-05-01 --admin 1
     $S payment-commands --root /lake/stipend --commands /in/cmds.parquet
+    $S force-status --root /lake/stipend --commands /in/keys.parquet --status SENT --as-of 2026-05-01 --admin 1
+    $S logins --root /lake/stipend --commands /in/logins.parquet
+    $S delete --root /lake/stipend --table students --ids /in/ids.parquet
+    $S vacuum --root /lake/stipend
     $S ticks --root /lake/stipend --ticks /in/ticks.parquet --as-of 2026-05-01
     $S report --root /lake/stipend --name department_summary --out /out/r6
 """
@@ -26,8 +32,10 @@ from pyspark.sql import SparkSession
 
 from stipendlens.operators import reports as R
 from stipendlens.operators import workflows as W
+from stipendlens.schemas import PRIMARY_KEYS
 from stipendlens.sources.mapping import Domain
-from stipendlens.sources.tables import commit_result, read_domain, write_domain, write_json
+from stipendlens.sources.snapshots import vacuum
+from stipendlens.sources.tables import commit_delete, commit_result, read_domain, write_domain, write_json
 
 REPORTS = {
     "attendance_detail": lambda t, a: R.attendance_detail(t["meal_attendance"], t["students"], t["menus"]),
@@ -57,6 +65,23 @@ REPORTS = {
 }
 
 
+#: Write jobs: the table they change and the workflow, from a snapshot and the arguments. Ids go on from the snapshot's.
+WRITES = {
+    "monthly-payments": ("cash_payments", lambda s, t, a: W.create_monthly_payments(
+        t["cash_payments"], t["students"], a.as_of, a.admin, t.ids.get("cash_payments", 0))),
+    "payment-commands": ("cash_payments", lambda s, t, a: W.apply_payment_commands(t["cash_payments"], s.read.parquet(a.commands))),
+    "force-status": ("cash_payments", lambda s, t, a: W.force_payment_status(
+        t["cash_payments"], s.read.parquet(a.commands), a.status, a.as_of, a.admin)),
+    "register": ("students", lambda s, t, a: W.register_students(
+        t["students"], s.read.parquet(a.requests), t["departments"], t["dormitories"], a.as_of, t.ids.get("students", 0))),
+    "approve": ("students", lambda s, t, a: W.approve_students(t["students"], s.read.parquet(a.commands))),
+    "logins": ("admins", lambda s, t, a: W.stamp_last_login(t["admins"], s.read.parquet(a.commands))),
+    "create-payments": ("cash_payments", lambda s, t, a: W.create_payments(
+        t["cash_payments"], s.read.parquet(a.requests), t["students"], a.as_of, t.ids.get("cash_payments", 0))),
+    "ticks": ("meal_attendance", lambda s, t, a: W.record_ticks(
+        t["meal_attendance"], s.read.parquet(a.ticks), t["students"], t["menus"], a.as_of, t.ids.get("meal_attendance", 0))),
+}
+
 #: Reports of one day, month or year.
 DATED = ("payment_status", "department_summary_for_year", "unpaid_students", "daily_attendance")
 
@@ -71,28 +96,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     p = sub.add_parser("load")
     p.add_argument("--sf-dir", required=True)
     p.add_argument("--root", required=True)
-    p = sub.add_parser("monthly-payments")
-    p.add_argument("--root", required=True)
-    p.add_argument("--as-of", required=True, type=_date)
-    p.add_argument("--admin", required=True, type=int)
-    p = sub.add_parser("payment-commands")
-    p.add_argument("--root", required=True)
-    p.add_argument("--commands", required=True)
-    p = sub.add_parser("register")
-    p.add_argument("--root", required=True)
-    p.add_argument("--requests", required=True)
-    p.add_argument("--as-of", required=True, type=_date)
-    p = sub.add_parser("approve")
-    p.add_argument("--root", required=True)
-    p.add_argument("--commands", required=True)
-    p = sub.add_parser("create-payments")
+    inputs = {"monthly-payments": (), "payment-commands": ("commands",), "force-status": ("commands",), "register": ("requests",),
+              "approve": ("commands",), "logins": ("commands",), "create-payments": ("requests",), "ticks": ("ticks",)}
+    for job, files in inputs.items():
+        p = sub.add_parser(job)
+        p.add_argument("--root", required=True)
+        for f in files:
+            p.add_argument(f"--{f}", required=True)
+        if job in ("monthly-payments", "force-status", "register", "create-payments", "ticks"):
+            p.add_argument("--as-of", required=True, type=_date)
+        if job in ("monthly-payments", "force-status"):
+            p.add_argument("--admin", required=True, type=int)
+        if job == "force-status":
+            p.add_argument("--status", required=True, choices=["CONFIRMED", "SENT"])
+    p = sub.add_parser("delete")
     p.add_argument("--root", required=True)
-    p.add_argument("--requests", required=True)
-    p.add_argument("--as-of", required=True, type=_date)
-    p = sub.add_parser("ticks")
+    p.add_argument("--table", required=True, choices=sorted(PRIMARY_KEYS))
+    p.add_argument("--ids", required=True)
+    p = sub.add_parser("vacuum")
     p.add_argument("--root", required=True)
-    p.add_argument("--ticks", required=True)
-    p.add_argument("--as-of", required=True, type=_date)
+    p.add_argument("--keep-versions", type=int, default=2)
+    p.add_argument("--older-than", type=int, default=86_400)
     p = sub.add_parser("report")
     p.add_argument("--root", required=True)
     p.add_argument("--name", required=True, choices=sorted(REPORTS))
@@ -110,31 +134,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
                                               "meal_attendance", "cash_payments", "audit_logs")}
         write_domain(tables, args.root)
         out = {"job": "load", "root": args.root}
-    elif args.job == "monthly-payments":
-        t = read_domain(spark, args.root)
-        res = W.create_monthly_payments(t["cash_payments"], t["students"], args.as_of, args.admin)
-        out = {"job": args.job, **commit_result(spark, args.root, "cash_payments", res)}
-    elif args.job == "payment-commands":
-        t = read_domain(spark, args.root)
-        res = W.apply_payment_commands(t["cash_payments"], spark.read.parquet(args.commands))
-        out = {"job": args.job, **commit_result(spark, args.root, "cash_payments", res)}
-    elif args.job == "register":
-        t = read_domain(spark, args.root)
-        res = W.register_students(t["students"], spark.read.parquet(args.requests), t["departments"], t["dormitories"], args.as_of)
-        out = {"job": args.job, **commit_result(spark, args.root, "students", res)}
-    elif args.job == "approve":
-        t = read_domain(spark, args.root)
-        res = W.approve_students(t["students"], spark.read.parquet(args.commands))
-        out = {"job": args.job, **commit_result(spark, args.root, "students", res)}
-    elif args.job == "create-payments":
-        t = read_domain(spark, args.root)
-        res = W.create_payments(t["cash_payments"], spark.read.parquet(args.requests), t["students"], args.as_of)
-        out = {"job": args.job, **commit_result(spark, args.root, "cash_payments", res)}
-    elif args.job == "ticks":
+    elif args.job == "vacuum":
+        out = {"job": args.job, "removed": vacuum(spark, args.root, args.keep_versions, args.older_than)}
+    elif args.job == "delete":
+        ids = spark.read.parquet(args.ids)
+        out = {"job": args.job, **commit_delete(spark, args.root, args.table, ids)}
+    elif args.job in WRITES:
         t = read_domain(spark, args.root)
-        res = W.record_ticks(t["meal_attendance"], spark.read.parquet(args.ticks), t["students"], t["menus"],
-                             args.as_of)
-        out = {"job": args.job, **commit_result(spark, args.root, "meal_attendance", res)}
+        name, run = WRITES[args.job]
+        out = {"job": args.job, **commit_result(spark, args.root, name, run(spark, t, args), base=t)}
     else:
         t = read_domain(spark, args.root)
         df = REPORTS[args.name](t, args.as_of.date() if args.as_of else None)

@@ -241,6 +241,8 @@ def _unique_in_batch(df: DataFrame, failing: DataFrame | None, r: Rule, key: Seq
            .agg(F.sum("__n").alias("__rows"), F.min(F.when(F.col("__clean"), F.col("__place"))).alias("__first"))
            .filter((F.col("__rows") > 1) & F.col("__first").isNotNull())
            .drop("__rows"))
+    # cut here: with the aggregate between shuffle and join, AQE could not split a hot key's rows
+    dup = cut_lineage(dup)
     later = groups.join(dup, cols, "inner").filter(F.col("__place") >= F.col("__first"))
     losers = F.col("__n") - F.when(F.col("__place") == F.col("__first"), 1).otherwise(0)
     later = later.withColumn("__times", losers).filter(F.col("__times") > 0)
@@ -350,10 +352,14 @@ def apply_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return out
 
 
-def assign_ids(df: DataFrame, id_col: str, existing: DataFrame | None, order_col: str) -> DataFrame:
-    """Surrogate ids after the stored maximum (SERIAL; gaps are allowed but
-    none are made): dense and deterministic in ``order_col`` order."""
-    start = existing.select(F.max(id_col)).scalar() if existing is not None else F.lit(0)
+def assign_ids(df: DataFrame, id_col: str, existing: DataFrame | None, order_col: str, last_id: int | None = None) -> DataFrame:
+    """Surrogate ids after ``last_id``, the stored high-water mark (by default
+    the maximum of ``existing``; SERIAL: gaps are allowed but none are made):
+    dense and deterministic in ``order_col`` order."""
+    if last_id is not None:
+        start = last_id
+    else:
+        start = existing.select(F.max(id_col)).scalar() if existing is not None else F.lit(0)
     return dense_ids(df, order_col, start, id_col)
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from stipendlens.functions.scalars import ntz_literal, period_of
 from stipendlens.operators import quality as Q
 from stipendlens.plans.joins import distinct_keys, present_keys
+from stipendlens.plans.lineage import cut_lineage
 from stipendlens.plans.ranking import dense_ids
 from stipendlens.schemas import AUDIT_LOGS, CASH_PAYMENTS, MEAL_ATTENDANCE, PARTITION_COLUMNS, PRIMARY_KEYS, STUDENTS
 
@@ -99,7 +100,7 @@ def touched_partitions(table: DataFrame, changed: DataFrame, name: str) -> DataF
 
 # ------------------------------------------------------------------ M1
 def register_students(students: DataFrame, requests: DataFrame, departments: DataFrame,
-                      dormitories: DataFrame, as_of: dt.datetime) -> Result:
+                      dormitories: DataFrame, as_of: dt.datetime, last_id: int | None = None) -> Result:
     """Registration requests (``seq`` unique, the request order; fields as the
     registration form, ``password`` included). Checks: required email and
     password, password strength, then the table's rules; a duplicate email
@@ -119,7 +120,7 @@ def register_students(students: DataFrame, requests: DataFrame, departments: Dat
     rules = [Q.form_number(f"{c}_text", c) for c in numbers]
     rules += Q.student_rules(req, students, departments, dormitories, order_col="seq", ingest=True)
     valid, rejected = Q.split_valid(req, rules, "seq", materialize=True)
-    new = Q.assign_ids(valid, "student_id", students, "seq")
+    new = Q.assign_ids(valid, "student_id", students, "seq", last_id)
     inserted = _cast_to(new, STUDENTS)
     table = _cast_to(students, STUDENTS).unionByName(inserted)
     audit = audit_rows(new, F.col("student_id"), "STUDENT", "INSERT", STUDENTS_TABLE, F.col("student_id"),
@@ -149,7 +150,8 @@ def approve_students(students: DataFrame, commands: DataFrame) -> Result:
 
 
 # ------------------------------------------------------------------ M3
-def create_payments(payments: DataFrame, requests: DataFrame, students: DataFrame, as_of: dt.datetime) -> Result:
+def create_payments(payments: DataFrame, requests: DataFrame, students: DataFrame, as_of: dt.datetime,
+                    last_id: int | None = None) -> Result:
     """Single payment requests ``seq, student_id, payment_month, payment_year,
     admin_id``: 3000.00, PENDING. A period that already has a payment (stored
     or earlier in the batch) is an error, not a skip; eligibility is not
@@ -158,7 +160,7 @@ def create_payments(payments: DataFrame, requests: DataFrame, students: DataFram
            .withColumn("status", F.lit("PENDING")))
     rules = Q.payment_rules(req, payments, students, order_col="seq")
     valid, rejected = Q.split_valid(req, rules, "seq", materialize=True)
-    new = Q.assign_ids(valid, "payment_id", payments, "seq")
+    new = Q.assign_ids(valid, "payment_id", payments, "seq", last_id)
     for c in ("confirmed_by", "confirmed_at", "sent_at"):
         new = new.withColumn(c, F.lit(None))
     inserted = _cast_to(new, CASH_PAYMENTS)
@@ -173,7 +175,7 @@ def create_payments(payments: DataFrame, requests: DataFrame, students: DataFram
 
 # ------------------------------------------------------------------ M4
 def create_monthly_payments(payments: DataFrame, students: DataFrame, as_of: dt.datetime,
-                            admin_id: int) -> Result:
+                            admin_id: int, last_id: int | None = None) -> Result:
     """One PENDING 3000.00 payment for every approved NON_CAFE student that
     has none in the month of ``as_of`` (``ON CONFLICT DO NOTHING``: existing
     periods are skipped, listed in ``rejected``). Exactly one audit row per
@@ -184,7 +186,7 @@ def create_monthly_payments(payments: DataFrame, students: DataFrame, as_of: dt.
     existing = distinct_keys(payments.filter((F.col("payment_month") == month) & (F.col("payment_year") == year)),
                              ["student_id"])
     todo = eligible.join(existing, "student_id", "left_anti")
-    start = payments.select(F.max("payment_id")).scalar()
+    start = payments.select(F.max("payment_id")).scalar() if last_id is None else last_id
     new = dense_ids(todo, "student_id", start, "payment_id").select(
         "payment_id", "student_id", F.lit("3000.00").cast("decimal(10,2)").alias("amount"),
         F.lit(month).alias("payment_month"), F.lit(year).alias("payment_year"), F.lit("PENDING").alias("status"),
@@ -281,7 +283,7 @@ def force_payment_status(payments: DataFrame, keys: DataFrame, status: str, as_o
 
 # ------------------------------------------------------------------ M8
 def record_ticks(attendance: DataFrame, ticks: DataFrame, students: DataFrame, menus: DataFrame,
-                 as_of: dt.datetime) -> Result:
+                 as_of: dt.datetime, last_id: int | None = None) -> Result:
     """Meal ticks ``seq, student_id, menu_id, meal_type[, meal_date,
     recorded_at]``; missing date / time default to the clock. One tick per
     (student, day, meal): the earliest by (recorded_at, seq) wins within the
@@ -290,21 +292,22 @@ def record_ticks(attendance: DataFrame, ticks: DataFrame, students: DataFrame, m
     t = Q.apply_defaults(ticks, Q.table_defaults("meal_attendance", as_of))
     rules = Q.attendance_rules(t, attendance, students, menus, order_col=("recorded_at", "seq"))
     valid, rejected = Q.split_valid(t, rules, "seq", materialize=True)
-    new = Q.assign_ids(valid, "attendance_id", attendance, "seq")
+    new = Q.assign_ids(valid, "attendance_id", attendance, "seq", last_id)
     inserted = _cast_to(new, MEAL_ATTENDANCE)
     table = _cast_to(attendance, MEAL_ATTENDANCE).unionByName(inserted)
     return Result(table, inserted, rejected, _no_audit(attendance), True)
 
 
 # -------------------------------------------------------------- M9 / M10
-def append_audit(audit: DataFrame, new_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Number new audit rows after the stored maximum (in ``audit_seq``
-    order) and append them: returns ``(new_table, appended)``. Stored rows
-    are never rewritten; write ``appended`` with mode ``append``."""
-    start = audit.select(F.max("log_id")).scalar()
+def append_audit(audit: DataFrame | None, new_rows: DataFrame, last_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Number new audit rows after ``last_id``, the stored high-water mark
+    (by default the stored log's maximum), in ``audit_seq`` order and append
+    them: returns ``(new_table, appended)``. Stored rows are never rewritten;
+    write ``appended`` with mode ``append``."""
+    start = audit.select(F.max("log_id")).scalar() if last_id is None else last_id
     numbered = dense_ids(new_rows.drop("log_id"), "audit_seq", start, "log_id")
     appended = _cast_to(numbered, AUDIT_LOGS)
-    return _cast_to(audit, AUDIT_LOGS).unionByName(appended), appended
+    return (appended if audit is None else _cast_to(audit, AUDIT_LOGS).unionByName(appended)), appended
 
 
 def audit_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -359,12 +362,10 @@ def delete_rows(tables: dict[str, DataFrame], table_name: str, ids: DataFrame) -
     def set_null(name: str, col: str) -> None:
         if name not in tables:
             return
-        t = tables[name]
-        hit = key.withColumnRenamed(pk, col).withColumn("__hit", F.lit(True))
-        out[name] = (t.join(hit, col, "left")
-                     .withColumn(col, F.when(F.col("__hit"), F.lit(None)).otherwise(F.col(col)).cast(
-                         t.schema[col].dataType))
-                     .select(*t.columns))
+        t, hit = tables[name], given.withColumnRenamed(pk, col)
+        # semi and anti join instead of one with an aggregated key: AQE can split a hot key's rows
+        cleared = t.join(hit, col, "left_semi").withColumn(col, F.lit(None).cast(t.schema[col].dataType)).select(*t.columns)
+        out[name] = cleared.unionByName(t.join(hit, col, "left_anti").select(*t.columns))
 
     if table_name == "students":
         for child in ("meal_attendance", "cash_payments"):
@@ -377,3 +378,31 @@ def delete_rows(tables: dict[str, DataFrame], table_name: str, ids: DataFrame) -
     elif table_name == "admins":
         set_null("cash_payments", "confirmed_by")
     return out, blocked
+
+
+#: Child tables and their columns that a delete from a table reaches.
+REFERENCES = {"students": [("meal_attendance", "student_id"), ("cash_payments", "student_id")],
+              "departments": [("students", "department_id")], "dormitories": [("students", "dormitory_id")],
+              "admins": [("cash_payments", "confirmed_by")], "menus": []}
+
+
+def delete_changes(tables: dict[str, DataFrame], table_name: str, ids: DataFrame) -> tuple[dict[str, tuple], DataFrame]:
+    """``delete_rows`` as changes to stored tables: per table reached, the new
+    rows of the partitions that hold a row it deletes or changes and those
+    partitions' values (the whole table and None where it has no
+    partitions), and the blocked ids."""
+    new, blocked = delete_rows(tables, table_name, ids)
+    pk = PRIMARY_KEYS[table_name]
+    given = present_keys(ids.select(F.col(ids.columns[0]).alias(pk)), [pk])
+    out: dict[str, tuple] = {}
+    if table_name == "audit_logs":
+        return out, blocked
+    for name, col in [(table_name, pk), *REFERENCES[table_name]]:
+        parts = PARTITION_COLUMNS.get(name) or []
+        if not parts:
+            out[name] = (new[name], None)
+            continue
+        hit = tables[name].join(given.withColumnRenamed(pk, col), col, "left_semi")
+        touched = cut_lineage(distinct_keys(hit, parts))  # no more rows than the table has partitions
+        out[name] = (new[name].join(F.broadcast(touched), parts, "left_semi"), touched)
+    return out, blocked

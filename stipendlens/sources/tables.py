@@ -1,19 +1,18 @@
 """Fixed-schema Parquet sources and sinks.
 
 Raw tables are read with declared schemas (no inference, no footer sweep);
-domain tables are written partitioned by their period / day columns so the
-report filters prune directories, and read back with the domain schema.
+domain tables are stored partitioned by their period / day columns, so the
+report filters prune directories, and committed in versions (``snapshots``).
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stipendlens.schemas import PARTITION_COLUMNS, PRIMARY_KEYS, TABLES
+from stipendlens.schemas import TABLES
+from stipendlens.sources.snapshots import Change, Snapshot, commit, read_manifest, read_snapshot, read_table
 
 _NTZ = T.TimestampNTZType()
 
@@ -39,132 +38,101 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_domain_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read one domain table written by ``write_domain_table``."""
-    return spark.read.schema(TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
+    """One stored domain table, as of the last committed version."""
+    return read_table(spark, root, name)
 
 
-SORT_COLUMNS = {
-    "meal_attendance": ["student_id"],
-    "cash_payments": ["student_id"],
-    "audit_logs": ["logged_at"],
-}
+def read_domain(spark: SparkSession, root: str) -> Snapshot:
+    """All stored domain tables of the last committed version."""
+    return read_snapshot(spark, root)
 
 
 def write_domain_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", recreate: bool = False) -> None:
-    """Write one domain table.
-
-    Fact tables are partitioned by period / day so report filters prune
-    directories. Rows are first *rebalanced* on the partition columns: AQE
-    sizes the write tasks and splits a partition that holds a large share of
-    the rows (one busy day) over several tasks and files instead of one.
-    Within files rows are sorted by the usual join key, so Parquet min/max
-    statistics skip row groups for key lookups. ``mode='append'`` is the
-    audit log's only mode after the initial load (M10). ``mode='partitions'``
-    replaces the partitions present in ``df``, ``mode='overwrite'`` the whole
-    table, whatever the session's partitionOverwriteMode; a stored audit log
-    is overwritten only by a drop-and-recreate load (``recreate``)."""
-    if name == "audit_logs" and mode != "append" and not recreate and _is_stored(df.sparkSession, f"{root.rstrip('/')}/{name}"):
+    """Commit one domain table: ``overwrite`` it whole, replace the
+    ``partitions`` present in ``df``, or ``append``, which is the audit log's
+    only mode after the initial load (M10) unless it is dropped and
+    re-created (``recreate``)."""
+    spark = df.sparkSession
+    if name == "audit_logs" and mode != "append" and not recreate and read_manifest(spark, root)["tables"].get(name):
         raise ValueError("audit_logs is append only")
-    cols = [f.name for f in TABLES[name].fields]
-    out = df.select(*cols)
-    parts = PARTITION_COLUMNS.get(name) or []
-    out = out.hint("rebalance", *parts) if parts else out.hint("rebalance")
-    sort = SORT_COLUMNS.get(name)
-    if sort:
-        out = out.sortWithinPartitions(*(parts + sort))
-    w = out.write.mode("overwrite" if mode == "partitions" else mode)
-    if mode != "append":
-        w = w.option("partitionOverwriteMode", "dynamic" if mode == "partitions" else "static")
-    if parts:
-        w = w.partitionBy(*parts)
-    w.parquet(f"{root.rstrip('/')}/{name}")
+    commit(spark, root, [Change(name, "replace" if mode == "overwrite" else mode, df)])
 
 
-def _is_stored(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+def write_domain(tables: dict[str, DataFrame], root: str) -> None:
+    """Drop-and-recreate load of the given tables (S7), all in one version:
+    readers see the old load or the new one."""
+    if tables:
+        commit(next(iter(tables.values())).sparkSession, root, [Change(name, "replace", df) for name, df in tables.items()])
 
 
-def write_domain(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
-    """Drop-and-recreate load of all domain tables (S7): old partitions go too."""
-    for name, df in tables.items():
-        write_domain_table(df, root, name, mode, recreate=True)
+#: Columns that are INTEGER in the source, so JSON numbers there.
+_NUMBERS = {f.name for t in TABLES.values() for f in t.fields if isinstance(f.dataType, (T.LongType, T.IntegerType))}
 
 
-def read_domain(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: read_domain_table(spark, root, name) for name in TABLES}
+def json_columns(df: DataFrame) -> DataFrame:
+    """The columns as the source's JSON has them: INTEGER columns are numbers,
+    counts (BIGINT) and NUMERIC text with their decimals, times and dates
+    ISO text, NULLs present."""
+    def shown(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        elif isinstance(f.dataType, (T.DecimalType, T.DateType)) or (isinstance(f.dataType, T.LongType) and f.name not in _NUMBERS):
+            c = c.cast("string")
+        return c.alias(f.name)
 
+    return df.select(*[shown(f) for f in df.schema.fields])
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON result sink (S8): one JSON object per row, like the REST payloads."""
-    df.write.mode(mode).json(path)
 
+def to_json(df: DataFrame) -> DataFrame:
+    """One column ``json``: a JSON object per row, every key present."""
+    shown = json_columns(df)
+    return shown.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in shown.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
-def commit_result(spark: SparkSession, root: str, name: str, result, audit_rows: DataFrame | None = None) -> dict:
-    """Write a workflow ``Result`` back to the domain tables under ``root``.
 
-    1. the new rows (an insert: the changed rows; an update: the rows of the
-       touched partitions) and the numbered audit rows are staged as Parquet
-       under ``root/pending_runs/<id>``, and a ready mark is written last;
-    2. staged rows replace their partitions (inserts are appended), staged
-       audit rows are appended, and a done mark is written.
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON result sink (S8): one JSON object per row, like the REST payloads."""
+    json_columns(df).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
-    A run that stopped before its ready mark changed nothing. One that
-    stopped later is finished by ``finish_pending`` (called first here), which
-    writes each part only if its rows are not stored yet: the audit log gets
-    exactly one row per event. Returns row counts of what was written."""
+
+def result_changes(name: str, result, audit: DataFrame, audit_ids: int) -> list[Change]:
+    """The changes of a workflow ``Result``: its new rows appended (inserts) or
+    the partitions it touches replaced, and its audit rows numbered after
+    ``audit_ids`` and appended."""
     from stipendlens.operators.workflows import append_audit, touched_partitions
 
-    finish_pending(spark, root)
-    run = uuid.uuid4().hex
-    folder = f"{root.rstrip('/')}/pending_runs/{run}"
-    insert = bool(getattr(result, "inserts", False))
-    new_rows = result.changed if insert else touched_partitions(result.table, result.changed, name)
-    new_rows.write.parquet(f"{folder}/rows")
-    stored_audit = read_domain_table(spark, root, "audit_logs")
-    _, appended = append_audit(stored_audit, result.audit if audit_rows is None else audit_rows)
-    appended.write.parquet(f"{folder}/audit")
-    spark.createDataFrame([(run, name, insert)], "run string, name string, inserts boolean").write.parquet(f"{folder}/ready")
-    _finish(spark, root, folder)
-    return {"rows_written": spark.read.parquet(f"{folder}/rows").count(),
-            "audit_appended": spark.read.parquet(f"{folder}/audit").count()}
-
-
-def _finish(spark: SparkSession, root: str, folder: str) -> None:
-    """Apply one staged run; parts that are stored already are left alone."""
-    ready = spark.read.parquet(f"{folder}/ready").first()
-    name, rows = ready["name"], spark.read.parquet(f"{folder}/rows")
-    if not ready["inserts"]:
-        write_domain_table(rows, root, name, mode="partitions" if PARTITION_COLUMNS.get(name) else "overwrite")
+    if getattr(result, "inserts", False):
+        first = Change(name, "append", result.changed)
     else:
-        _append_new(spark, root, name, rows)
-    _append_new(spark, root, "audit_logs", spark.read.parquet(f"{folder}/audit"))
-    spark.createDataFrame([(ready["run"],)], "run string").write.mode("overwrite").parquet(f"{folder}/done")
+        first = Change(name, "partitions", touched_partitions(result.table, result.changed, name))
+    _, numbered = append_audit(None, audit, audit_ids)
+    return [first, Change("audit_logs", "append", numbered)]
 
 
-def _append_new(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
-    """Append the rows whose primary key is not stored (all or none of a run's)."""
-    pk = PRIMARY_KEYS[name]
-    stored = read_domain_table(spark, root, name).select(pk)
-    write_domain_table(rows.join(stored, pk, "left_anti"), root, name, mode="append")
+def commit_result(spark: SparkSession, root: str, name: str, result, audit_rows: DataFrame | None = None,
+                  base: Snapshot | None = None) -> dict:
+    """Commit a workflow ``Result`` with its audit rows as one version: both
+    are seen or neither. ``base`` is the snapshot the result was made from; if
+    another run has committed since, ``ConcurrentCommit`` is raised and nothing
+    changes. Returns row counts of what was written."""
+    last = (base.ids if base is not None else read_manifest(spark, root)["ids"]).get("audit_logs", 0)
+    changes = result_changes(name, result, result.audit if audit_rows is None else audit_rows, last)
+    counts = commit(spark, root, changes, None if base is None else base.version)
+    return {"rows_written": counts[name], "audit_appended": counts["audit_logs"]}
 
 
-def finish_pending(spark: SparkSession, root: str) -> int:
-    """Finish runs that were staged but not done; returns how many."""
-    def marked(what: str) -> dict:
-        try:
-            files = spark.read.option("recursiveFileLookup", "true").parquet(f"{root.rstrip('/')}/pending_runs/*/{what}")
-            return {r["run"]: r for r in files.collect()}  # one row a run
-        except AnalysisException:
-            return {}
+def commit_delete(spark: SparkSession, root: str, name: str, ids: DataFrame, base: Snapshot | None = None) -> dict:
+    """Delete stored rows by primary key with the schema's referential actions
+    (M12), all tables reached in one version. Only partitions that hold a row
+    to delete or to change are rewritten. Returns the rows of what was
+    rewritten by table, and how many ids were blocked."""
+    from stipendlens.operators.workflows import delete_changes
 
-    done = marked("done")
-    todo = [r for r in marked("ready") if r not in done]
-    for run in todo:
-        _finish(spark, root, f"{root.rstrip('/')}/pending_runs/{run}")
-    return len(todo)
+    snap = read_snapshot(spark, root) if base is None else base
+    reached, blocked = delete_changes(snap, name, ids)
+    refused = blocked.count()
+    changes = [Change(n, "partitions", rows, touched) for n, (rows, touched) in reached.items()]
+    return {"rewritten": commit(spark, root, changes, snap.version) if changes else {}, "blocked": refused}
 
 
 def postgres_options(url: str, table: str, user: str | None = None, password: str | None = None,
@@ -192,8 +160,6 @@ def read_postgres_table(spark: SparkSession, name: str, **options) -> DataFrame:
     domain schema (enums arrive as text, SERIAL as int). Needs the
     PostgreSQL JDBC driver on the classpath; ``password_hash`` is never
     selected."""
-    from pyspark.sql import functions as F
-
     schema = TABLES[name]
     cols = ", ".join(f.name for f in schema.fields)
     opts = postgres_options(table=f"(SELECT {cols} FROM {name}) AS src", **options)
