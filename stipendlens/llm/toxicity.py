@@ -139,10 +139,13 @@ def _count_terms(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
 
 def choose_terms(bad: dict[str, int], good: dict[str, int], n_bad: int, n_good: int, max_terms: int,
-                 min_gain: float = 40.0, min_weight: float = 1.5) -> dict[str, float]:
-    """Entries whose rate per word is significantly higher in toxic documents
-    (likelihood ratio statistic ``min_gain``), none the start of another.
-    ``n_bad``, ``n_good``: words of either class."""
+                 false_share: float = 1e-3, min_weight: float = 1.5) -> dict[str, float]:
+    """Entries whose rate per word is significantly higher in toxic documents,
+    none the start of another. Of the entries taken a share of ``false_share``
+    is expected to be there by chance (Benjamini and Hochberg's step-up over the
+    p-values of the likelihood ratio statistics of all entries seen), so the
+    choice means the same for few labels and for many. ``n_bad``, ``n_good``:
+    words of either class."""
     ranked = []
     for t, a in bad.items():
         b = good.get(t, 0)
@@ -151,11 +154,16 @@ def choose_terms(bad: dict[str, int], good: dict[str, int], n_bad: int, n_good:
             continue
         expected = (a + b) * n_bad / (n_bad + n_good)
         gain = 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0.0))
-        if gain >= min_gain:
-            ranked.append((-gain, -len(t), t, weight))
+        ranked.append((-gain, -len(t), t, weight))
+    ranked.sort()
+    last = 0  # entries that pass: up to the last whose p-value is below its place's share
+    for i, (gain, *_) in enumerate(ranked, 1):
+        if math.erfc(math.sqrt(max(0.0, -gain) / 2)) <= false_share * i / max(1, len(bad)):
+            last = i
+    ranked = ranked[:last]
     out: dict[str, float] = {}
     starts: set[str] = set()
-    for _, _, t, weight in sorted(ranked):
+    for _, _, t, weight in ranked:
         word = t.rstrip()
         if len(out) >= max_terms or word in starts or any(word[:k] in out for k in STARTS):
             continue
