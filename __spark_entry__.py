@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
@@ -28,7 +29,9 @@ from stipendlens.operators import quality as Q  # noqa: E402
 from stipendlens.operators import reports as R  # noqa: E402
 from stipendlens.operators import views as V  # noqa: E402
 from stipendlens.operators import workflows as W  # noqa: E402
-from stipendlens.streaming.ticks import event_tick_stream, run_tick_streams  # noqa: E402
+from stipendlens.plans.lineage import ensure_checkpoint_dir  # noqa: E402
+from stipendlens.streaming.ticks import (current_ticks, event_tick_stream, read_dashboard, run_tick_streams,  # noqa: E402
+                                         start_tick_ingest)
 from stipendlens.sources.mapping import (ATTENDANCE_AS_OF, PAYMENTS_AS_OF, WORKFLOW_ADMIN,  # noqa: E402
                                          WORKFLOW_AS_OF, Commands, Domain, Faulty)
 
@@ -183,8 +186,17 @@ def _stream_dashboard(d: Domain) -> DataFrame:
     """T1 + T2 run to completion over the events file as a stream source."""
     n_parts = d.raw("part").count()
     source = event_tick_stream(d.spark, f"{d.sf_dir.rstrip('/')}/events.parquet*", n_parts)
-    _, dash = run_tick_streams(d.spark, source)
-    return d.spark.read.parquet(dash)
+    _, dash, _ = run_tick_streams(d.spark, source)
+    return read_dashboard(d.spark, dash)
+
+
+def _stream_ticks(d: Domain) -> DataFrame:
+    """T1 run to completion over the events file as a stream source: all of its ticks."""
+    n_parts = d.raw("part").count()
+    base = f"{ensure_checkpoint_dir(d.spark).rstrip('/')}/ticks-{uuid.uuid4().hex}"
+    source = event_tick_stream(d.spark, f"{d.sf_dir.rstrip('/')}/events.parquet*", n_parts)
+    start_tick_ingest(source, f"{base}/ticks", f"{base}/marks").awaitTermination()
+    return current_ticks(d.spark, f"{base}/ticks", f"{base}/marks")
 
 
 _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
@@ -257,6 +269,7 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "m12_delete_admins_set_null": lambda d: _delete(d, "admins", 3, "cash_payments"),
     "m12_delete_menus_restrict": _delete_unavailable_menus,
     "t01_stream_daily_dashboard": _stream_dashboard,
+    "t02_stream_ticks": _stream_ticks,
 }
 
 
