@@ -30,6 +30,7 @@ from stipendlens.operators import reports as R  # noqa: E402
 from stipendlens.operators import views as V  # noqa: E402
 from stipendlens.operators import workflows as W  # noqa: E402
 from stipendlens.plans.lineage import ensure_checkpoint_dir  # noqa: E402
+from stipendlens.sources.tables import to_json  # noqa: E402
 from stipendlens.streaming.ticks import (current_ticks, event_tick_stream, read_dashboard, run_tick_streams,  # noqa: E402
                                          start_tick_ingest)
 from stipendlens.sources.mapping import (ATTENDANCE_AS_OF, PAYMENTS_AS_OF, WORKFLOW_ADMIN,  # noqa: E402
@@ -182,6 +183,56 @@ def _delete(d: Domain, table: str, every: int, child: str) -> DataFrame:
     return W.delete_rows(tables, table, ids)[0][child]
 
 
+def _form_violations(d: Domain) -> DataFrame:
+    """F18, F19, C10 over registration forms: every number, password and required field that fails."""
+    forms = Commands(d).registration_forms()
+    numbers = ["year_of_study", "year_enrolled"]
+    typed = Q.coerce_form_numbers(forms.select("*", *[F.col(c).alias(f"{c}_text") for c in numbers]), numbers)
+    rules = [Q.form_number(f"{c}_text", c) for c in numbers] + Q.student_rules(
+        typed, d.students, d.departments, d.dormitories, order_col="seq", ingest=True)
+    return Q.violations(typed, rules, "seq").select("seq", "rule_id", "reason", "message")
+
+
+def _form_numbers(d: Domain) -> DataFrame:
+    """the numbers that the forms' text stands for."""
+    forms = Commands(d).registration_forms().select("seq", "year_of_study", "year_enrolled")
+    return Q.coerce_form_numbers(forms, ["year_of_study", "year_enrolled"])
+
+
+def _with_defaults(d: Domain) -> DataFrame:
+    """Payments given without amount and status, which are filled in."""
+    given = d.cash_payments.select("payment_id", "student_id", "payment_month", "payment_year")
+    return Q.apply_defaults(given, Q.table_defaults("cash_payments", WORKFLOW_AS_OF)).select(
+        "payment_id", "student_id", "payment_month", "payment_year", "amount", "status")
+
+
+def _audit_tampered(d: Domain) -> DataFrame:
+    """Rows of the log that a version with changed and deleted rows no longer has."""
+    new = d.audit_logs.filter(F.col("log_id") % 19 != 1).withColumn(
+        "new_value", F.when(F.col("log_id") % 17 == 2, F.lit("edited")).otherwise(F.col("new_value")))
+    return W.audit_changes(d.audit_logs, new)
+
+
+def _portal(d: Domain) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S3: the portal of every seventh student, by key."""
+    keys = d.students.filter(F.col("student_id") % 7 == 3).select("student_id")
+    return R.student_portal(keys, d.students, d.departments, d.dormitories, d.cash_payments, d.meal_attendance, d.menus)
+
+
+def _monthly(d: Domain) -> W.Result:
+    return W.create_monthly_payments(d.cash_payments, d.students, _payments_clock(), WORKFLOW_ADMIN)
+
+
+def _json_payments(d: Domain) -> DataFrame:
+    """Payments with their student's number of payments, as JSON rows read back by key."""
+    counted = d.cash_payments.groupBy("student_id").agg(F.count(F.lit(1)).alias("payments"))
+    rows = d.cash_payments.select("payment_id", "student_id", "amount", "confirmed_by", "confirmed_at").join(counted, "student_id")
+    kinds = "payment_id long, student_id long, amount string, payments string, confirmed_by long, confirmed_at string"
+    text = to_json(rows)
+    shown = text.select("json", F.from_json("json", kinds).alias("r"), F.json_object_keys("json").alias("k"))
+    return shown.select("r.*", F.size("k").cast("long").alias("n_keys"))
+
+
 def _stream_dashboard(d: Domain) -> DataFrame:
     """T1 + T2 run to completion over the events file as a stream source."""
     n_parts = d.raw("part").count()
@@ -270,6 +321,16 @@ _REGISTRY: dict[str, Callable[[Domain], DataFrame]] = {
     "m12_delete_menus_restrict": _delete_unavailable_menus,
     "t01_stream_daily_dashboard": _stream_dashboard,
     "t02_stream_ticks": _stream_ticks,
+    "c11_form_violations": _form_violations,
+    "c12_form_numbers": _form_numbers,
+    "c13_payment_defaults": _with_defaults,
+    "m04_monthly_payments_audit": lambda d: W.append_audit(d.audit_logs, _monthly(d).audit)[1],
+    "m05_payment_commands_audit": lambda d: W.append_audit(d.audit_logs, _commands(d).audit)[1],
+    "m10_audit_tampered": _audit_tampered,
+    "s03_portal_profiles": lambda d: _portal(d)[0],
+    "s03_portal_payments": lambda d: _portal(d)[1],
+    "s03_portal_meals": lambda d: _portal(d)[2],
+    "s08_json_payments": _json_payments,
 }
 
 

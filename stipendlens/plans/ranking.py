@@ -7,29 +7,17 @@ job. ``rank_within`` computes the same SQL ``RANK()`` as a prefix count:
     rank(v) = 1 + (rows of the partition ordered before v)
 
 1. collapse rows to distinct (partition, value) with their multiplicity
-   (hash aggregate, combined map-side, so a hot value is one row);
-2. cut each partition's value range into buckets at approximate quantiles
-   (one small aggregate; the quantiles only balance work, exactness does
-   not depend on them);
-3. rows before v = rows in earlier buckets (a window over at most
-   ``buckets`` rows per partition) + rows earlier in v's own bucket
-   (a window partitioned by (partition, bucket), so each task holds about
-   1/buckets of a partition's distinct values);
+   (hash aggregate, combined map-side, so a hot value is one row), checkpointed;
+2. range-partition those by (partition, value): Spark samples them, so the
+   sorted partitions ("buckets") are balanced however the values lie, and a
+   large year covers many of them; a second checkpoint fixes the order;
+3. rows before v = rows of v's partition in earlier buckets (a window over
+   at most ``buckets`` rows per partition) + rows before v in v's own bucket (a
+   window partitioned by (partition, bucket));
 4. join the rank back on (partition, value), NULL-safe.
 
-The distinct (partition, value, multiplicity) table feeds four branches;
-it is checkpointed once (reliably, under ``spark.checkpoint.dir``) so the
-upstream plan runs twice in total - once for the counts, once for the rows
-the ranks are joined to - instead of once per branch.
-
 NULL placement follows PostgreSQL: NULLs last ascending, first descending.
-
-The side tables (per-partition statistics, bucket bounds, per-bucket
-counts) have structural size bounds: one row per partition key, and at most
-``buckets`` rows per key. Without partition columns they are broadcast
-outright (1, 1 and <= ``buckets`` rows); with partition columns their size
-follows the number of keys, which is checked once - a cheap count over the
-checkpointed counts - with shuffle joins beyond the bound.
+No side is broadcast by hand; AQE does where the sizes it measured allow it.
 """
 
 from __future__ import annotations
@@ -39,9 +27,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipendlens.plans.joins import broadcast_row_budget, fits_rows
 from stipendlens.plans.lineage import cut_lineage
 
+
 def _buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return max(1, int(buckets))
@@ -53,7 +41,7 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
 
 
 def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = True,
-                out: str = "rank", buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+                out: str = "rank", buckets: int | None = None) -> DataFrame:
     """``df`` plus column ``out`` = RANK() OVER (PARTITION BY by ORDER BY value).
 
     The partition columns travel as one struct column: struct equality
@@ -61,51 +49,24 @@ def rank_within(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     and every join and window below is keyed by the same expressions, so
     a side already partitioned by a window is not shuffled again."""
     by = list(by)
-    small = F.broadcast
-    nb = _buckets(df, buckets)
-    v = F.col(value)
-    k = "__rk_k"
+    v, k, bucket, mark = F.col(value), "__rk_k", "__rk_b", "__rk_m"
     base = df.withColumn(k, F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("p")))
-
     counts = cut_lineage(base.groupBy(k, value).agg(F.count(F.lit(1)).alias("__rk_n")))
-    nonnull = counts.filter(v.isNotNull())
-    stats = counts.groupBy(k).agg(
-        F.coalesce(F.sum(F.when(v.isNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nulls"),
-        F.coalesce(F.sum(F.when(v.isNotNull(), F.col("__rk_n"))), F.lit(0)).alias("__rk_nonnull"),
-    )
-    if by:
-        # every side table has at most `nb` rows per partition key: one check of the key
-        # count (over the checkpoint, not the upstream) bounds all three
-        if not fits_rows(stats.select(k), broadcast_row_budget(df, 96) // max(1, nb)):
-            small = lambda x: x  # noqa: E731  (beyond the bound: shuffle joins)
-    part_stats = small(stats)
-
-    if nb > 1:
-        fracs = [i / nb for i in range(1, nb)]
-        bounds = nonnull.groupBy(k).agg(F.percentile_approx(value, fracs, accuracy).alias("__rk_bounds"))
-        bucketed = nonnull.join(small(bounds), k, "inner").withColumn(
-            "__rk_b", F.size(F.filter("__rk_bounds", lambda b: b < v))).drop("__rk_bounds")
-    else:
-        bucketed = nonnull.withColumn("__rk_b", F.lit(0))
-
-    order_b = F.desc("__rk_b") if descending else F.asc("__rk_b")
-    per_bucket = bucketed.groupBy(k, "__rk_b").agg(F.sum("__rk_n").alias("__rk_bn"))
-    wb = Window.partitionBy(k).orderBy(order_b).rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(k, "__rk_b", F.coalesce(F.sum("__rk_bn").over(wb), F.lit(0)).alias("__rk_before_b"))
-
-    order_v = v.desc() if descending else v.asc()
-    wv = Window.partitionBy(k, "__rk_b").orderBy(order_v).rowsBetween(Window.unboundedPreceding, -1)
-    within = bucketed.withColumn("__rk_before_v", F.coalesce(F.sum("__rk_n").over(wv), F.lit(0)))
-
-    ranked = within.join(small(per_bucket), [k, "__rk_b"], "inner").join(part_stats, k, "inner")
-    lead_nulls = F.col("__rk_nulls") if descending else F.lit(0)
-    nonnull_ranks = ranked.select(
-        k, value, (F.lit(1) + F.col("__rk_before_b") + F.col("__rk_before_v") + lead_nulls).alias(out))
-    null_rank = F.lit(1) if descending else F.lit(1) + F.col("__rk_nonnull")
-    null_ranks = counts.filter(v.isNull()).join(part_stats, k, "inner").select(k, value, null_rank.alias(out))
+    order = [F.col(k), v.desc_nulls_first() if descending else v.asc_nulls_last()]
+    ordered = counts.repartitionByRange(_buckets(df, buckets), *order).sortWithinPartitions(*order)
+    # the checkpoint fixes bucket and order, so ranks do not change when a task is recomputed
+    placed = cut_lineage(ordered.withColumn(bucket, F.spark_partition_id()).withColumn(mark, F.monotonically_increasing_id()))
+
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = placed.groupBy(k, bucket).agg(F.sum("__rk_n").alias("__rk_bn"))
+    per_bucket = per_bucket.select(k, bucket, F.coalesce(
+        F.sum("__rk_bn").over(earlier.partitionBy(k).orderBy(bucket)), F.lit(0)).alias("__rk_before_b"))
+    before = F.coalesce(F.sum("__rk_n").over(earlier.partitionBy(k, bucket).orderBy(mark)), F.lit(0))
+    ranked = placed.select(k, bucket, value, before.alias("__rk_before_v")).join(per_bucket, [k, bucket], "inner")
 
     j = "__rk_j"  # (partition, value) as one NULL-safe join key
-    ranks = nonnull_ranks.unionByName(null_ranks).select(F.struct(k, value).alias(j), F.col(out).cast("long").alias(out))
+    rank = F.lit(1) + F.col("__rk_before_b") + F.col("__rk_before_v")
+    ranks = ranked.select(F.struct(k, value).alias(j), rank.cast("long").alias(out))
     return base.withColumn(j, F.struct(k, value)).join(ranks, j, "inner").drop(j, k)
 
 

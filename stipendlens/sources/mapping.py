@@ -236,6 +236,19 @@ class Commands:
             F.lit(None).cast("long").alias("dormitory_id"),
         )
 
+    def registration_forms(self) -> DataFrame:
+        """The registrations as form text: numbers as typed, some blank or
+        malformed, some passwords weak or missing, some emails empty."""
+        every = lambda n, k, bad, good: F.when(F.col("seq") % n == k, F.lit(bad)).otherwise(good)
+        r = self.registrations()
+        year = F.when(F.col("seq") % 7 == 1, F.lit("  ")).when(F.col("seq") % 7 == 2, F.lit("third")).when(
+            F.col("seq") % 7 == 3, F.lit("3.0")).when(F.col("seq") % 7 == 4, F.lit("9")).otherwise(F.lit(" 2 "))
+        password = F.when(F.col("seq") % 5 == 1, F.lit("alllowercase1!")).when(F.col("seq") % 5 == 2, F.lit("Sh0rt!")).when(
+            F.col("seq") % 5 == 3, F.lit("")).otherwise(F.col("password"))
+        return r.withColumn("year_of_study", year).withColumn("password", password).withColumn(
+            "year_enrolled", every(11, 1, "1e2x", F.col("year_enrolled").cast("string"))).withColumn(
+            "email", every(13, 1, "", F.col("email")))
+
     def approvals(self) -> DataFrame:
         return self._signups().select(F.col("log_id").alias("cmd_id"), F.col("actor_id").alias("student_id"),
                                       F.lit(WORKFLOW_ADMIN).cast("long").alias("admin_id"),

@@ -116,3 +116,34 @@ def test_semi_and_anti_joins_split_a_hot_student(spark, tmp_path, build):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == want and "skew=true" in plan
+
+
+def test_unique_splits_a_hot_key_and_set_null_a_hot_admin(spark):
+    """A third of the batch has one email, a third of the payments one admin: AQE splits the joins that meet them."""
+    d = Domain(spark, SF)
+    batch = d.cash_payments.select(F.col("payment_id").alias("seq"), F.when(F.col("payment_id") % 3 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("m"), (F.col("payment_id") % 4000).cast("string"))).alias("email"))
+    rules = [Q.unique("email", name="students_email_key", order_col="seq")]
+    rows_ = [(r["seq"], r["email"]) for r in batch.collect()]
+    first = {}
+    for seq, email in sorted(rows_):
+        first.setdefault(email, seq)
+    payments = d.cash_payments.withColumn("confirmed_by", F.when(F.col("payment_id") % 3 == 0, F.lit(1)).otherwise(F.col("payment_id") % 50 + 2))
+    ids = d.admins.filter("admin_id <= 3").select("admin_id")
+    gone = {r["admin_id"] for r in ids.collect()}
+    old = {k: spark.conf.get(k, None) for k in HOT_JOINS}
+    try:
+        for k, v in HOT_JOINS.items():
+            spark.conf.set(k, v)
+        late = Q.violations(batch, rules, "seq", materialize=False)
+        got = sorted(r["seq"] for r in late.collect())
+        unique_plan = _plan(late)
+        cleared = W.delete_rows({"admins": d.admins, "cash_payments": payments}, "admins", ids)[0]["cash_payments"]
+        kept = sorted((r["payment_id"], r["confirmed_by"]) for r in cleared.collect())
+        null_plan = _plan(cleared)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted(seq for seq, email in rows_ if first[email] != seq)
+    assert kept == sorted((r["payment_id"], None if r["confirmed_by"] in gone else r["confirmed_by"]) for r in payments.collect())
+    assert "skew=true" in unique_plan and "skew=true" in null_plan
