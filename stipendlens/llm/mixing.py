@@ -7,16 +7,18 @@ largest of the levels that stop 0, 1, 2, ... sources in the order of their
 stopping level).
 
 Within a source the documents stand in hashed order, and their running words
-cut the source into blocks, so the source's quota is exact: whole epochs of
-all its blocks, then a prefix of blocks, in which the last document is cut
-where the target is reached. Words taken are the rounded target.
+cut the source into blocks of about equal words. A source's quota is as many
+blocks as its target takes: whole epochs of all its blocks, then the blocks that
+a random permutation of them puts first, until their words reach the target; the
+last of them is cut there, within one document. Words taken are the rounded target.
 
 Block quotas are dealt to output shards by a multivariate hypergeometric
 splitting tree: at each node the node's tokens (one per block, known only by
 source) are put in random order and the left child takes the share of its
 leaves, which is the multivariate hypergeometric draw of the left child's
 quotas; a shard then owns that many blocks of each source's permuted block
-list, disjoint by position, and rows carry a key for the local shuffle.
+list, disjoint by position. The rows of a mix are the documents of the blocks so
+drawn, and carry their shard and a key for the local shuffle.
 
 DataFrame functions only. Running sums are two-level (per hashed bucket of a
 source, then inside a bucket), so a source that holds a third of all rows is
@@ -37,7 +39,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipendlens.llm.common import WORD
+from stipendlens.llm.common import SPACE, WORD
 from stipendlens.plans.joins import bounded_broadcast
 from stipendlens.plans.lineage import cut_lineage
 
@@ -103,41 +105,50 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WE
     plan = cut_lineage(plan.withColumn("blocks", F.ceil(share * blocks).cast("long"))
                        .withColumn("epochs", F.when(size > 0, F.floor(goal / size)).otherwise(0).cast("int"))
                        .withColumn("rest", goal - F.col("epochs") * size)
-                       .withColumn("quota", F.col("epochs") * F.col("blocks") + F.when(
-                           size > 0, F.ceil(F.col("rest") * F.col("blocks") / size)).otherwise(0))
-                       .select(F.struct("source").alias("sk"), "source_size", "target", "blocks", "epochs", "rest", "quota"))
-
-    # disjoint permuted blocks: a shard owns its quota of each source's permuted list
-    drawn = plan.select("sk", "blocks", F.explode(F.sequence(F.lit(0), F.greatest(F.col("quota") - 1, F.lit(0)).cast("int"))).alias("i"),
-                        "quota").filter(F.col("i") < F.col("quota")).select(
-        "sk", (F.col("i") / F.col("blocks")).cast("int").alias("epoch"), (F.col("i") % F.col("blocks")).alias("block"))
-    order = Window.partitionBy("sk").orderBy(F.xxhash64(F.lit(seed + 1), "sk", "epoch", "block"), "epoch", "block")
-    drawn = drawn.withColumn("at", F.row_number().over(order))
-    owned = split_quotas(plan.select("sk", "quota"), shards, seed)
-    upto = Window.partitionBy("sk").orderBy("shard")
-    owned = owned.withColumn("last", F.sum("quota").over(upto)).select("sk", "shard", "last", "quota")
-    owned = owned.groupBy("sk").agg(F.sort_array(F.collect_list(F.struct("last", "shard"))).alias("ends"))  # <= shards
-    drawn = drawn.join(bounded_broadcast(owned, MAX_SIDE_ROWS), "sk").select(
-        "sk", "epoch", "block", F.get(F.filter("ends", lambda e: e["last"] >= F.col("at")), F.lit(0))["shard"].alias("shard"))
+                       .select(F.struct("source").alias("sk"), "source_size", "target", "blocks", "epochs", "rest"))
 
     starts = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(starts), F.lit(0)))
-    buckets = buckets.drop("bucket_size").join(bounded_broadcast(plan.drop("quota"), MAX_SIDE_ROWS), "sk")
+    buckets = buckets.drop("bucket_size").join(bounded_broadcast(plan, MAX_SIDE_ROWS), "sk")
     inside = Window.partitionBy("sk", "bucket").orderBy("h", "doc_id", "tie", "size")
     placed = base.join(bounded_broadcast(buckets, MAX_SIDE_ROWS), ["sk", "bucket"]).withColumn(
         "n", F.row_number().over(inside)).withColumn(
         "start", F.col("bucket_start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    rows = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
-    words = F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(
-        F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start"))))
-    rows = rows.withColumn("words", words).withColumn(
-        "block", F.floor(F.col("start") * F.col("blocks") / F.greatest("source_size", F.lit(1))))
-    rows = rows.join(bounded_broadcast(drawn, MAX_SIDE_ROWS), ["sk", "epoch", "block"], "left")
+    placed = placed.withColumn("block", F.floor(F.col("start") * F.col("blocks") / F.greatest("source_size", F.lit(1))))
+
+    drawn = bounded_broadcast(cut_lineage(_drawn(placed, plan, shards, seed)), MAX_SIDE_ROWS)
+    rows = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).join(drawn, ["sk", "epoch", "block"], "left")
+    room = F.col("room") - (F.col("start") - F.col("block_start"))
+    words = F.when(F.col("room").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), room)))
+    rows = rows.withColumn("words", words)
     return rows.select("doc_id", *[f"keep_{c}" for c in keep], F.struct("sk", "bucket", "n").alias("row_key"), "size", "source_size",
                        "target", "epoch", "words", "block", F.when(F.col("words") > 0, F.col("shard")).alias("shard"),
                        F.xxhash64(F.lit(seed + 2), "doc_id", "epoch", "n").alias("shuffle_key"))
 
 
+def _drawn(placed: DataFrame, plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The blocks of the mix: sk, epoch, block, block_start, room (words to take
+    of it) and the shard that the tree's quotas give it to."""
+    per = placed.groupBy("sk", "block").agg(F.sum("size").alias("held"), F.min("start").alias("block_start"))
+    per = cut_lineage(per.join(bounded_broadcast(plan.select("sk", "epochs", "rest"), MAX_SIDE_ROWS), "sk"))
+    permuted = F.xxhash64(F.lit(seed + 1), "sk", "epoch", "block")
+    last = per.withColumn("epoch", F.col("epochs")).withColumn("order", permuted)
+    before = Window.partitionBy("sk").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.coalesce(F.sum("held").over(before), F.lit(0))
+    last = last.withColumn("room", F.least(F.col("held"), left)).filter(F.col("room") > 0)
+    whole = per.filter((F.col("epochs") > 0) & (F.col("held") > 0)).withColumn(
+        "epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("epochs") - 1, F.lit(0))))).withColumn("order", permuted)
+    cols = ["sk", "epoch", "block", "block_start", F.col("room").cast("long").alias("room"), "order"]
+    taken = whole.withColumn("room", F.col("held")).select(*cols).unionByName(last.select(*cols))
+    taken = taken.withColumn("at", F.row_number().over(Window.partitionBy("sk").orderBy("order", "epoch", "block")))
+    owned = split_quotas(taken.groupBy("sk").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
+    upto = Window.partitionBy("sk").orderBy("shard")
+    owned = owned.withColumn("last", F.sum("quota").over(upto)).select("sk", "shard", "last")
+    owned = owned.groupBy("sk").agg(F.sort_array(F.collect_list(F.struct("last", "shard"))).alias("ends"))  # <= shards
+    return taken.join(owned, "sk").select("sk", "epoch", "block", "block_start", "room",
+                                          F.get(F.filter("ends", lambda e: e["last"] >= F.col("at")), F.lit(0))["shard"].alias("shard"))
+
+
 def shuffle_locally(mixed: DataFrame) -> DataFrame:
     """Mixed rows laid out for writing by shard, each task's rows in random order."""
     return mixed.filter(F.col("words") > 0).repartition("shard", F.pmod("shuffle_key", F.lit(64))).sortWithinPartitions(
@@ -151,5 +162,6 @@ def mixed_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def cut_to_words(text, words):
-    """The first ``words`` words of a text, one blank between."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
+    """The first ``words`` words of a text, with the white space before and between them."""
+    spaced = F.regexp_extract_all(text, F.lit(rf"({SPACE[:-1]}*{WORD})"), F.lit(1))
+    return F.array_join(F.slice(spaced, F.lit(1), words.cast("int")), "")

@@ -81,3 +81,42 @@ def test_splitting_tree_keeps_quotas_and_even_shards(spark):
 def test_empty_table(make_docs):
     assert mixing.mixed_words(make_docs([(1, "a")]).filter("false")).count() == 0
     assert mixing.mixed_words(make_docs([(1, ""), (2, None)])).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_the_drawn_blocks_decide_what_is_taken(documents):
+    """Another seed takes other documents, targets hold; whole blocks are taken but one a source and epoch."""
+    def taken(seed):
+        return {r["doc_id"]: r["taken"] for r in mixing.mixed_words(documents, seed=seed, blocks=64).collect()}
+
+    a, b = taken(1), taken(2)
+    assert a == taken(1) and sum(a.values()) == sum(b.values()) and len(a) == len(b)
+    assert sum(a[d] != b[d] for d in a) > len(a) // 20
+    mixed = mixing.mix(documents, blocks=1024)
+    per = mixed.groupBy("row_key.sk", "epoch", "block").agg(F.sum("words").alias("words"), F.sum("size").alias("size"), F.min("words").alias("least"))
+    cut = per.filter("words > 0 and words < size").groupBy("sk").count()
+    assert cut.filter("count > 1").count() == 0
+    last = per.withColumn("last", F.max("epoch").over(mixing.Window.partitionBy("sk"))).filter("epoch = last and size > 0")
+    assert last.filter("words > 0").count() > 0 and last.filter("words = 0").count() > 0
+    # the blocks taken are not the first ones of the source
+    some = last.filter("words > 0").groupBy("sk").agg(F.count("*").alias("n"), F.max("block").alias("top"))
+    assert some.filter("top > n + 2").count() > 0
+
+
+def test_shards_hold_hypergeometric_shares(spark):
+    """Mean and spread of a shard's quota of a source over many seeds, against the distribution's."""
+    quotas = spark.createDataFrame([(("a",), 30), (("b",), 10)], "sk struct<source:string>, quota bigint").cache()
+    drawn = []
+    for seed in range(60):
+        got = {(r["sk"]["source"], r["shard"]): r["quota"] for r in mixing.split_quotas(quotas, 2, seed).collect()}
+        assert got.get(("a", 0), 0) + got.get(("b", 0), 0) == 20
+        drawn.append(got.get(("b", 0), 0))
+    mean = sum(drawn) / 60
+    spread = sum((x - mean) ** 2 for x in drawn) / 60
+    assert abs(mean - 5) < 0.75 and 0.9 < spread < 4  # 20 of 40 tokens, 10 of them b: mean 5, variance 1.92
+
+
+def test_a_cut_keeps_white_space(spark):
+    text = "  one\ttwo\n\nthree  four "
+    df = spark.createDataFrame([(text, n) for n in range(6)], "t string, n int")
+    got = {r["n"]: r["x"] for r in df.select("n", mixing.cut_to_words(F.col("t"), F.col("n")).alias("x")).collect()}
+    assert got == {0: "", 1: "  one", 2: "  one\ttwo", 3: "  one\ttwo\n\nthree", 4: "  one\ttwo\n\nthree  four", 5: "  one\ttwo\n\nthree  four"}
