@@ -5,17 +5,19 @@ smallest hash among its inner runs of ``S`` words is that of the first or the
 last (a closed syncmer): whether it is chosen depends on its own words only,
 never on its surroundings, so equal passages give equal anchors wherever they
 stand, and of any ``K - S + 1`` neighbouring runs at least one is chosen. ``anchors``
-returns them with their word positions; a fingerprint is all different anchor
-hashes of the whole text, and likeness is the Jaccard index of two such sets.
+returns them with their word positions and 64-bit hashes.
+
 Positions are matched by neighbours: two anchors in a row with the same gap in
-words stand at one offset in both texts, wherever their passage moved.
-``placed_edited`` and ``placed_next`` are the Jaccard index of these pairs.
+words stand at one offset in both texts, wherever their passage moved. A
+fingerprint is all different such pairs of the whole text (``BITS`` bits each, the
+whole fingerprint as base64), and likeness is the Jaccard index of two of them.
+Two words in five begin an anchor, so a fingerprint grows with the text, to
+about half its length, and nothing of a text is left out.
 
 DataFrame functions only. Every document is compared with the next one
 (descending doc_id) and with its edited text, whose tail comes from the next
 one: neighbours are found on a table of ids and lengths; the texts are
-shuffled, and each travels once more to the document before it, which
-is smaller than its anchors; nothing is sampled.
+shuffled, and each travels once more to the document before it; nothing is sampled.
 
 Defined results: NULL text: empty; fewer than ``K`` words: one anchor, the
 whole text, which is its own pair; no word: an empty fingerprint (two of them are alike, 1.0);
@@ -33,8 +35,8 @@ from stipendlens.llm.common import SPACE, key128
 from stipendlens.plans.lineage import cut_lineage
 from stipendlens.plans.ranking import dense_ids
 
-K, S = 4, 2
-SKETCH = None  # anchors a fingerprint is cut to: none is dropped
+K, S = 6, 2
+BITS = 48  # of a pair of anchors; eight characters of base64
 
 
 def _let(value: Column, f) -> Column:
@@ -48,25 +50,26 @@ def word_hashes(text: Column) -> Column:
 
 
 def _inner(h: Column) -> Column:
-    """Hashes of the runs of S = 2 words."""
+    """Hashes of the runs of S = 2 words (one per word, the last NULL)."""
     return F.zip_with(h, F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))),
                       lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
 
 
 def _closed(g: Column, make) -> Column:
-    """``make(start, hash)`` of every closed syncmer, over inner hashes ``g``
-    (one per word, the last NULL)."""
+    """``make(start, hash)`` of every closed syncmer, over inner hashes ``g``."""
+    inner = range(K - S + 1)
 
     def at(i: Column) -> Column:
-        first, mid, last = F.get(g, i), F.get(g, i + 1), F.get(g, i + 2)
-        return F.when(F.least(first, last) <= mid, make(i, F.hash(first, last)))
+        first, *mid, last = (F.get(g, i + j) for j in inner)
+        words = [F.get(g, i + j) for j in inner if j % S == 0 or j == K - S]
+        return F.when(F.least(first, last) <= F.least(*mid), make(i, F.xxhash64(*words)))
 
     return F.filter(F.transform(F.sequence(F.lit(0), F.size(g) - K), at), lambda x: x.isNotNull())
 
 
 def _chosen(text: Column, make, kind: str) -> Column:
     def of(h: Column) -> Column:
-        whole = F.array(make(F.lit(0), F.hash(F.array_join(F.transform(h, lambda x: x.cast("string")), " "))))
+        whole = F.array(make(F.lit(0), F.xxhash64(h)))
         return F.when(F.size(h) >= K, _let(_inner(h), lambda g: _closed(g, make))).when(F.size(h) > 0, whole).otherwise(
             F.array().cast(f"array<{kind}>"))
 
@@ -74,28 +77,29 @@ def _chosen(text: Column, make, kind: str) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """array<struct<pos int, hash int>>: the anchors with their first word's position."""
-    return _chosen(text, lambda i, h: F.struct(i.alias("pos"), h.alias("hash")), "struct<pos:int,hash:int>")
+    """array<struct<pos int, hash bigint>>: the anchors with their first word's position."""
+    return _chosen(text, lambda i, h: F.struct(i.alias("pos"), h.alias("hash")), "struct<pos:int,hash:bigint>")
 
 
 def signature(text: Column) -> Column:
-    """struct<hashes, pairs>: the different anchor hashes, ascending, and the
-    different pairs of neighbouring anchors with their gap in words."""
+    """array<bigint>: the different pairs of neighbouring anchors with their gap
+    in words, ascending; a single anchor is its own pair."""
 
-    def pairs(a: Column) -> Column:
-        def pair(x: Column, y: Column) -> Column:
-            return F.xxhash64(x["hash"], y["hash"], y["pos"] - x["pos"])
+    def pair(x: Column, y: Column) -> Column:
+        gap = F.coalesce(y["pos"] - x["pos"], F.lit(0))
+        return F.xxhash64(x["hash"], y["hash"], gap).bitwiseAND(F.lit((1 << BITS) - 1))
 
-        n = F.greatest(F.size(a) - 1, F.lit(0))
-        return F.when(F.size(a) == 1, F.transform(a, lambda x: F.xxhash64(x["hash"]))).otherwise(
-            F.array_distinct(F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(2), n), pair)))
+    def pairs(a: Column) -> Column:
+        n = F.greatest(F.size(a) - 1, F.least(F.size(a), F.lit(1)))
+        return F.sort_array(F.array_distinct(F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(2), n), pair)))
 
-    return _let(anchors(text), lambda a: F.struct(
-        F.sort_array(F.array_distinct(F.transform(a, lambda x: x["hash"]))).alias("hashes"), pairs(a).alias("pairs")))
+    return _let(anchors(text), pairs)
 
 
-def as_text(sk: Column) -> Column:
-    return F.array_join(F.transform(sk, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+def as_text(sig: Column) -> Column:
+    """``BITS`` bits a pair, as base64 on one line; empty for no word."""
+    digits = F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x), BITS // 4, "0")), "")
+    return F.translate(F.base64(F.unhex(digits)), "\r\n", "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -120,7 +124,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, placed_edited, placed_next for ``docs(doc_id bigint, text)``."""
+    near_edited, near_next for ``docs(doc_id bigint, text)``."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     beside = cut_lineage(neighbours(docs).select("row", "prev_row", "prev_chars"))
     k1, k2 = key128(F.col("text"))
@@ -135,8 +139,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         signature(F.col("text")).alias("sig"), signature(F.col("next_text")).alias("next_sig"))
     out = out.withColumn("edited_sig", signature(F.col("edited")))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                      as_text(F.col("sig.hashes")).alias("fingerprint"), as_text(F.col("edited_sig.hashes")).alias("edited_fingerprint"),
-                      likeness(F.col("sig.hashes"), F.col("edited_sig.hashes")).alias("near_edited"),
-                      likeness(F.col("sig.hashes"), F.col("next_sig.hashes")).alias("near_next"),
-                      likeness(F.col("sig.pairs"), F.col("edited_sig.pairs")).alias("placed_edited"),
-                      likeness(F.col("sig.pairs"), F.col("next_sig.pairs")).alias("placed_next"))
+                      as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+                      likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+                      likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
