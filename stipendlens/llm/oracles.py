@@ -86,9 +86,15 @@ labelled as (
   select host, (length(regexp_replace(t, '[^#*$%|!]', '', 'g')) > 0.1 * length(t)
                 or length(regexp_replace(t, '[^A-Z]', '', 'g')) > 0.4 * length(t)
                 or len(list_distinct(w)) < 0.2 * len(w))::bigint as bad from seen),
+named as (
+  select host, count(*) as n, sum(bad) as x, string_split(regexp_replace(host, ':[0-9]*\z', ''), '.') as labels from labelled group by host),
 hosts as (
-  select host, list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') as domain, string_split(host, '.')[-1] as suffix,
-         count(*) as n, sum(bad) as x from labelled group by host),
+  select host, n, x, case when two then array_to_string(list_slice(labels, greatest(1, len(labels) - 2), len(labels)), '.')
+                          else array_to_string(list_slice(labels, greatest(1, len(labels) - 1), len(labels)), '.') end as domain,
+         case when two then array_to_string(list_slice(labels, greatest(1, len(labels) - 1), len(labels)), '.') else labels[-1] end as suffix
+  from (select *, len(labels) > 1 and array_to_string(list_slice(labels, len(labels) - 1, len(labels)), '.') in (
+          'ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx',
+          'com.sg', 'com.tr', 'com.tw', 'gov.uk', 'ne.jp', 'net.au', 'or.jp', 'org.au', 'org.br', 'org.uk') as two from named)),
 domains as (select domain, suffix, sum(n) as n, sum(x) as x from hosts group by domain, suffix),
 suffixes as (select suffix, sum(n) as n, sum(x) as x from hosts group by suffix),
 ks as {_strength('suffixes', 'x', 'n')}, kd as {_strength('domains', 'x', 'n')}, kh as {_strength('hosts', 'x', 'n')},

@@ -38,6 +38,9 @@ from stipendlens.plans.lineage import cut_lineage
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/"))
 MAX_RULES = 500
+#: Suffixes of two labels under which names are registered; fixed values, a parameter of ``judge_urls``.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx",
+            "com.sg", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.br", "org.uk")
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,12 +53,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _name(host: Column) -> Column:
+    """The host without its port."""
+    return F.regexp_replace(host, r":[0-9]*\z", "")
 
 
-def registered_domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def _two(name: Column, suffixes: Sequence[str]) -> Column:
+    return F.substring_index(name, ".", -2).isin(*suffixes)
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix: two labels where they are one of ``suffixes``, else the last."""
+    name = _name(host)
+    return F.when(_two(name, suffixes), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+
+
+def registered_domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix and the label before it."""
+    name = _name(host)
+    return F.when(_two(name, suffixes), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]], want: str = "rule") -> Column:
@@ -90,12 +106,12 @@ def junk_page(html: Column) -> Column:
     return F.when(html.isNotNull(), _let(text, junk)).cast("int")
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``outcomes(host, bad)`` -> host, n_pages, n_bad, post_mean, post_lower."""
     hosts = cut_lineage(outcomes.filter(F.col("bad").isNotNull()).groupBy("host").agg(
         F.count(F.lit(1)).alias("n_pages"), F.sum("bad").alias("n_bad")))
-    hosts = hosts.withColumn("domain", registered_domain_of(F.col("host"))).withColumn(
-        "suffix", suffix_of(F.col("host")))
+    hosts = hosts.withColumn("domain", registered_domain_of(F.col("host"), suffixes)).withColumn(
+        "suffix", suffix_of(F.col("host"), suffixes))
     sums = [F.sum("n_pages").alias("n"), F.sum("n_bad").alias("x")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = hosts.groupBy("suffix").agg(*sums)
@@ -118,13 +134,14 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, outcome: Column | None = None,
-               max_rate: float = 0.5, z: float = 1.645) -> DataFrame:
+               max_rate: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``pages(page_id, url, ...)`` -> page_id, host, path, rule, verdict.
     ``outcome`` is the column with a page's label (1 bad, 0 good, NULL none);
-    by default a content rule over ``html``."""
+    by default a content rule over ``html``. ``suffixes`` are the public
+    suffixes of two labels; a host's port is not part of its domain."""
     label = junk_page(F.col("html")) if outcome is None else outcome.cast("int")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    seen = host_reputation(pages.select(host.alias("host"), label.alias("bad")), z)
+    seen = host_reputation(pages.select(host.alias("host"), label.alias("bad")), z, suffixes)
     bad_hosts = seen.filter(F.col("post_lower") > max_rate).select(F.col("host").alias("__bad_host"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     h, p = F.col("host"), F.col("path")
