@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,19 @@ def test_ranking_prefers_labelled_ones_to_zeros(documents, labels):
     scored = quality_bt.quality(documents, labels).join(labels, "doc_id")
     means = {r["quality"]: r["m"] for r in scored.groupBy("quality").agg(F.avg("score").alias("m")).collect()}
     assert means[1] > means[0] + 0.5
+
+
+def test_quality_weights_are_the_optimum_over_all_pairs(documents, labels):
+    """Every pair of a document labelled 1 and one labelled 0 counts, not a sample of them: the loss has no slope left."""
+    m = quality_bt.learn(documents, labels)
+    train = documents.join(labels, "doc_id").filter("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").collect()
+    x = np.array([quality_bt.text_features(r["text"]) for r in train])
+    assert np.allclose(m["mean"], x.mean(0), atol=1e-6) and np.allclose(m["std"], x.std(0) + 1e-6, atol=1e-6)
+    z = np.clip((x - m["mean"]) / m["std"], -6, 6)
+    z = np.hstack([z, z * z])
+    y = np.array([r["quality"] for r in train])
+    diff = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, z.shape[1])
+    slope = -(diff / (1 + np.exp(diff @ m["w"]))[:, None]).mean(0) + 1e-3 * m["w"]
+    assert np.abs(slope).max() < 1e-6
+    s = z @ m["w"]
+    assert ((s >= m["cut"]) == (y == 1)).all()
