@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stipendlens.llm.linking import components, link
+from stipendlens.llm.linking import components, different_buckets, link
 
 
 def union_find(pairs):
@@ -63,3 +63,18 @@ def test_a_hot_group_costs_its_members_not_its_pairs(spark):
     links = links_of(spark, points, {i: [1, 2, 3] for i in points})
     assert links.count() <= 3 * 150 + 4, "members of the three buckets, not 11,175 pairs"
     assert {r["id"]: r["root"] for r in components(links).collect()} == {i: 0 for i in range(150)} | {500: 500, 501: 500}
+
+
+def test_pairs_of_like_buckets_are_checked_once(spark):
+    """Strays in 28 buckets of the same members: one hub a round, one bucket compared in the end."""
+    rest = spark.createDataFrame([(k, i, i) for k in range(28) for i in range(40)] + [(99, i, i) for i in range(39)], "key bigint, id bigint, root bigint")
+    assert {r["key"]: r["count"] for r in different_buckets(rest).groupBy("key").count().collect()} == {0: 40, 99: 39}
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return pairs.withColumn("similarity", F.lit(0.0))
+
+    items = spark.createDataFrame([(i, list(range(28))) for i in range(40)], "id bigint, keys array<bigint>")
+    assert link(items, verify, lambda rows: rows.selectExpr("id as a", "id as b").filter("false"), 0.8).count() == 0
+    assert seen == [39, 39]
