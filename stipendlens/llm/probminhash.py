@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipendlens.llm.common import key128
-from stipendlens.llm.linking import components, link
+from stipendlens.llm.linking import grouped
 from stipendlens.plans.joins import bounded_broadcast
 from stipendlens.plans.lineage import cut_lineage
 
@@ -246,12 +246,12 @@ def near_classes(docs: DataFrame, bands: int = 28, rows: int = 5, min_similarity
     (the smallest doc_id of its group)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     classes = cut_lineage(text_classes(docs, bands, rows))
-    links = link(classes.select(F.col("k1").alias("id"), "keys"), verifier(docs, max_broadcast_rows),
-                 comparer(docs, min_similarity, max_broadcast_rows), min_similarity)
-    groups = classes.drop("keys").join(components(links).withColumnRenamed("id", "k1"), "k1", "left")
-    grouped = groups.filter(F.col("root").isNotNull())
-    named = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return grouped.join(named, "root").select("k1", "k2", "doc_id", "class_id").unionByName(
+    _, roots = grouped(classes.select(F.col("k1").alias("id"), "keys"), verifier(docs, max_broadcast_rows),
+                       comparer(docs, min_similarity, max_broadcast_rows), min_similarity)
+    groups = classes.drop("keys").join(roots.withColumnRenamed("id", "k1"), "k1", "left")
+    linked = groups.filter(F.col("root").isNotNull())
+    named = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return linked.join(named, "root").select("k1", "k2", "doc_id", "class_id").unionByName(
         groups.filter(F.col("root").isNull()).select("k1", "k2", "doc_id", F.col("doc_id").alias("class_id")))
 
 

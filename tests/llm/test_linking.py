@@ -1,11 +1,15 @@
 """Components and links against union-find over all pairs."""
 
+import glob
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from stipendlens.llm.common import written
 from stipendlens.llm.linking import components, different_buckets, link
+from stipendlens.plans.lineage import FREE_SHUFFLES, cut_lineage
 
 
 def union_find(pairs):
@@ -78,3 +82,34 @@ def test_pairs_of_like_buckets_are_checked_once(spark):
     items = spark.createDataFrame([(i, list(range(28))) for i in range(40)], "id bigint, keys array<bigint>")
     assert link(items, verify, lambda rows: rows.selectExpr("id as a", "id as b").filter("false"), 0.8).count() == 0
     assert seen == [39, 39]
+
+
+def test_components_grow_from_known_ones(spark):
+    """Earlier components joined by later links, by any of their members, and with new ids."""
+    rng = random.Random(4)
+    first, later = ([(rng.randrange(90), rng.randrange(90)) for _ in range(n)] for n in (40, 25))
+    old = components(spark.createDataFrame(first, "a bigint, b bigint"))
+    got = components(spark.createDataFrame(later, "a bigint, b bigint"), old)
+    assert {r["id"]: r["root"] for r in got.collect()} == union_find([p for p in first + later if p[0] != p[1]])
+    assert got.count() == got.select("id").distinct().count()
+    same = components(spark.createDataFrame(first[:9], "a bigint, b bigint"), old)
+    assert {r["id"]: r["root"] for r in same.collect()} == {r["id"]: r["root"] for r in old.collect()}
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    """What is read back from storage has no use for the shuffles that made it."""
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before, freed = files(), spark.conf.get(FREE_SHUFFLES, None)
+    rows = spark.range(5000).selectExpr("id % 700 as a", "id % 31 as b")
+    stored = [cut_lineage(rows.groupBy("a").count()), written(rows.groupBy("b").count())]
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert [df.count() for df in stored] == [700, 31]
+    assert spark.conf.get(FREE_SHUFFLES, None) == freed, "the session's setting is as before"
